@@ -44,9 +44,9 @@ def map_segment_group(idx: Column | str, groups: Mapping[int, str] = SEGMENT_GRO
 def cosine_loadings(responses: DataFrame, segments: DataFrame, vector: str = "embedding") -> DataFrame:
     """Add ``loading``: cosine of each response with every segment, in segment order. One
     narrow pass over the responses: no join, no shuffle."""
-    v, narrative = F.col(vector), segment_array(segments)
-    loading = let(norm(v), lambda length: F.transform(narrative, lambda s: cosine(v, s["e"], length, s["n"])))
-    return responses.withColumn("loading", loading)
+    v = F.col(vector)
+    loading = let(norm(v), lambda length: F.transform("_segments", lambda s: cosine(v, s["e"], length, s["n"])))
+    return responses.withColumn("_segments", segment_array(segments)).withColumn("loading", loading).drop("_segments")
 
 
 def cosine_matrix(responses: DataFrame, segments: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import DECISIONS
+from ..session import truncate_lineage
 
 CONDITION = ("Structure", "Content")
 # Prior standard deviations of the coefficients.
@@ -50,10 +51,12 @@ def design_factors(df: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 
 def covariate_patterns(df: DataFrame, label: str, covariates: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Distinct (covariates, label) rows with their weight."""
+    """Distinct (covariates, label) rows with their weight, written to the work folder: the fit
+    passes over them many times and the log is read once."""
     w = F.count(F.lit(1)).cast("double") if weight is None else F.sum(F.col(weight).cast("double"))
-    return (df.where(F.col(label).isNotNull()).groupBy(*covariates, F.col(label).alias("label"))
-            .agg(w.alias("weight")))
+    return truncate_lineage(
+        df.where(F.col(label).isNotNull()).groupBy(*covariates, F.col(label).cast("double").alias("label"))
+        .agg(w.alias("weight")), "patterns")
 
 
 def _ridge(patterns: DataFrame, sd: float) -> float:
@@ -72,7 +75,7 @@ def _coefficients(df: DataFrame, terms: Sequence[str], values, intercept: float,
 def _logit(df: DataFrame, terms: Sequence[str], label: str, covariates: Sequence[str], sd: float, family: str):
     patterns = covariate_patterns(df, label, covariates)
     return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family=family,
-                              regParam=_ridge(patterns, sd), standardization=False, maxIter=200, tol=1e-9
+                              regParam=_ridge(patterns, sd), standardization=False, maxIter=100, tol=1e-8
                               ).fit(design_factors(patterns, terms))
 
 

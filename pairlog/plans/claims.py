@@ -280,8 +280,8 @@ _SIGNERS = """
 @query("binom_test_exact", f"""
     SELECT Structure, Content, cause_topic, effect_topic, up AS unique_positive_count, down AS unique_negative_count,
            {r6('up / nullif(up + down, 0)')} AS estimate,
-           CASE WHEN up + down > 0 THEN round(least(1, 2 * (SELECT sum(exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1)
-                - (up + down) * ln(2))) FROM range(0, 100000) g(i) WHERE i <= least(up, down))), 6) + 0.0 END AS p_value
+           CASE WHEN up + down > 0 THEN round(round(least(1, 2 * (SELECT sum(exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1)
+                - (up + down) * ln(2))) FROM range(0, 100000) g(i) WHERE i <= least(up, down))), 12), 6) + 0.0 END AS p_value
     FROM ({_SIGNERS})""")
 def _(t):
     d = H.binom_test_exact(C.unique_signers(shifts(t)))

@@ -31,14 +31,15 @@ def query(name: str, sql: str | None = None):
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, without negative zero, so that two engines can be compared."""
+    """Doubles to six digits, without negative zero, so that two engines can be compared. The
+    first rounding, to twelve, makes both see the same value where it lies halfway."""
     return df.select(*[
-        (F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType)
+        (F.round(F.round(F.col(f"`{f.name}`"), 12), 6) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType)
         else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def r6(expr: str) -> str:
-    return f"round({expr}, 6) + 0.0"
+    return f"round(round({expr}, 12), 6) + 0.0"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
