@@ -24,15 +24,18 @@ def earlier_context(df: DataFrame) -> DataFrame:
     first trial of each (participant, answer) is a window minimum. The keys extend the
     (run, participant) partitioning which the previous step left behind, so nothing moves.
     """
-    # The whole row rides only on its "given" copy; the "heard" copy carries keys alone.
-    row = F.struct(*[F.col(c) for c in df.columns])
-    heard = F.struct(F.col("partner_response").alias("answer"), F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType).alias("row"))
-    given = F.struct(F.col(RESPONSE).alias("answer"), row.alias("row"))
-    both = df.select(RUN, PERSON, TRIAL, F.explode(F.array(given, heard)).alias("x"))
+    # Keys stay plain columns, which keeps their partitioning known; the rest of the row rides
+    # only on its "given" copy, and the "heard" copy is keys and answer alone.
+    keys = [RUN, PERSON, TRIAL]
+    rest = F.struct(*[F.col(c) for c in df.columns if c not in keys])
+    none = F.lit(None).cast(df.select(rest.alias("r")).schema["r"].dataType)
+    given = F.struct(F.col(RESPONSE).alias("answer"), rest.alias("row"))
+    heard = F.struct(F.col("partner_response").alias("answer"), none.alias("row"))
+    both = df.select(*keys, F.explode(F.array(given, heard)).alias("x"))
     first = F.min(TRIAL).over(W.partitionBy(RUN, PERSON, F.col("x.answer")))
     return (both.withColumn("first_seen", F.when(F.col("x.answer").isNotNull(), first))
             .where(F.col("x.row").isNotNull())
-            .select("x.row.*", "first_seen")
+            .select(*keys, "x.row.*", "first_seen")
             .withColumn("seen_before", F.coalesce(F.col("first_seen") < F.col(TRIAL), F.lit(False))))
 
 

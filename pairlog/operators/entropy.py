@@ -22,6 +22,19 @@ def entropy_of_counts(counts: DataFrame, keys: Sequence[str], n: str = "n", base
     return agg.select(*keys, F.col("N").alias("respondents"), h.alias("entropy"))
 
 
+def trial_profile(df: DataFrame, keys: Sequence[str] = (RUN, TRIAL), base: str | float = 2) -> DataFrame:
+    """Entropy and dominant answer of each trial from the same two aggregates: the log is
+    counted once, and both come out of the counts. Missing answers are left out."""
+    counts = response_counts(df, keys).withColumn("_best", F.struct((-F.col("n")).alias("neg"), F.col(RESPONSE).alias("r")))
+    agg = counts.groupBy(*keys).agg(
+        F.sum("n").alias("N"), F.min("_best").alias("b"),
+        F.sum(F.col("n") * log_base(F.col("n"), base)).alias("s"))
+    top = -F.col("b.neg")
+    h = F.when(top == F.col("N"), F.lit(0.0)).otherwise(log_base(F.col("N"), base) - F.col("s") / F.col("N"))
+    return agg.select(*keys, h.alias("entropy"), F.col("b.r").alias("DomResponse"), top.alias("DomResponseCount"),
+                      (top / F.col("N")).alias("DomResponseProp"))
+
+
 def trial_entropy(df: DataFrame, keys: Sequence[str] = (RUN, TRIAL), base: str | float = "e") -> DataFrame:
     """Entropy of a trial's answers; missing answers are left out of the counts."""
     return entropy_of_counts(response_counts(df, keys), keys, base=base)

@@ -14,41 +14,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import DECISIONS, as_col
+from .ranking import bucketed_row_number
 
 RUN, TRIAL, PERSON, RESPONSE, PAIR = "Identifier", "TrialNumber", "id", "Response", "grp"
 CONDITION = ("Structure", "Content")
 
 
-def _pair_window(pair: str = PAIR):
-    """Window over the two members of a pair. Unpaired rows share one pair id (NULL or
-    below zero) which may cover much of a trial: each becomes its own partition."""
+def _by_pair(df: DataFrame, pair: str = PAIR):
+    """The frame with a helper column ``_lone``, and a window over the members of a pair.
+    Unpaired rows share one pair id (NULL or below zero) which may cover much of a trial:
+    there ``_lone`` makes each row its own partition."""
     unpaired = F.col(pair).isNull() | (F.col(pair) < 0)
-    return W.partitionBy(RUN, TRIAL, pair, F.when(unpaired, F.col(PERSON)))
+    return df.withColumn("_lone", F.when(unpaired, F.col(PERSON))), W.partitionBy(RUN, TRIAL, pair, "_lone")
+
+
+def _one_answer(w) -> Column:
+    """1 when the answers of a window are one distinct value, a missing one being a value."""
+    same = F.min(RESPONSE).over(w).eqNullSafe(F.max(RESPONSE).over(w))
+    mixed = F.max(F.col(RESPONSE).isNull()).over(w) & F.max(F.col(RESPONSE).isNotNull()).over(w)
+    return (same & ~mixed).cast("int")
 
 
 def attach_partner(df: DataFrame, pair: str = PAIR) -> DataFrame:
-    """Add partner_id, partner_response and Points (1 when both gave the same answer).
-    One window instead of a self join; rows without a partner carry NULL and 0."""
-    w = _pair_window(pair)
+    """Add partner_id, partner_response, Points (1 when both gave the same answer) and
+    Coordinate. One window, so one shuffle, instead of a self join; rows without a partner
+    carry NULL and 0, and what a query does not use is pruned from the window."""
+    keyed, w = _by_pair(df, pair)
     me = F.struct(F.col(PERSON).alias("id"), F.col(RESPONSE).alias("r"))
-    both = df.withColumn("_low", F.min(me).over(w)).withColumn("_high", F.max(me).over(w))
+    both = keyed.withColumns({"_low": F.min(me).over(w), "_high": F.max(me).over(w), "Coordinate": _one_answer(w)})
     other = F.when(F.col("_low.id") == F.col(PERSON), F.col("_high")).otherwise(F.col("_low"))
     alone = F.col("_low.id") == F.col("_high.id")
     return (both
-            .withColumn("partner_id", F.when(~alone, other["id"]))
-            .withColumn("partner_response", F.when(~alone, other["r"]))
+            .withColumns({"partner_id": F.when(~alone, other["id"]), "partner_response": F.when(~alone, other["r"])})
             .withColumn("Points", F.coalesce((F.col("partner_response") == F.col(RESPONSE)).cast("int"), F.lit(0)))
-            .drop("_low", "_high"))
+            .drop("_low", "_high", "_lone"))
 
 
 def pair_coordination(df: DataFrame, pair: str = PAIR) -> DataFrame:
     """Coordinate = 1 when the pair's answers are one distinct value. A lone member scores
     1, and a missing answer counts as a value of its own."""
-    w = _pair_window(pair)
-    one_value = F.min(RESPONSE).over(w).eqNullSafe(F.max(RESPONSE).over(w))
-    has_null = F.max(F.col(RESPONSE).isNull()).over(w)
-    has_value = F.max(F.col(RESPONSE).isNotNull()).over(w)
-    return df.withColumn("Coordinate", (one_value & ~(has_null & has_value)).cast("int"))
+    keyed, w = _by_pair(df, pair)
+    return keyed.withColumn("Coordinate", _one_answer(w)).drop("_lone")
 
 
 def coordination_rate(df: DataFrame, keys: Sequence[str] = (RUN, TRIAL, *CONDITION)) -> DataFrame:
@@ -147,10 +153,10 @@ def decision_pivot(df: DataFrame, keys: Sequence[str] = (RUN, TRIAL)) -> DataFra
     return wide.na.fill(0, DECISIONS)
 
 
-def decision_proportion_curves(df: DataFrame, nominal: Column | None = None) -> DataFrame:
+def decision_proportion_curves(df: DataFrame, sizes: DataFrame, nominal: Column | None = None) -> DataFrame:
     """Decision counts over network size, averaged over a condition's runs. ``nominal``
     replaces the size of a run (the published tables divide every hashtag run by 20)."""
-    counts = decision_pivot(df, (RUN, *CONDITION, TRIAL)).join(run_sizes(df), RUN)
+    counts = decision_pivot(df, (RUN, *CONDITION, TRIAL)).join(sizes, RUN)
     size = F.col("Size") if nominal is None else nominal
     return counts.groupBy(*CONDITION, TRIAL).agg(
         *[F.avg(F.col(d) / size).alias(d) for d in DECISIONS])
@@ -236,17 +242,17 @@ def score_pair(df: DataFrame, name: str = "name", ratings: Sequence[str] = (), p
     """Points of a pair: one for equal non-empty names (case does not matter), and one more
     when both gave the same value on a scale both rated. Adds name_point, rating_point and
     payoff (0..2); a lone member scores 0."""
-    w = _pair_window(pair)
+    keyed, w = _by_pair(df, pair)
     scale = F.array(*[F.col(c) for c in ratings]) if ratings else F.array().cast("array<int>")
     me = F.struct(F.col(PERSON).alias("id"), F.lower(F.coalesce(name, F.lit(""))).alias("name"), scale.alias("ratings"))
-    both = df.withColumn("_a", F.min(me).over(w)).withColumn("_b", F.max(me).over(w))
+    both = keyed.withColumns({"_a": F.min(me).over(w), "_b": F.max(me).over(w)})
     paired = F.col("_a.id") != F.col("_b.id")
     same_name = (F.col("_a.name") != "") & (F.col("_a.name") == F.col("_b.name"))
     same_rating = F.exists(F.arrays_zip(F.col("_a.ratings").alias("x"), F.col("_b.ratings").alias("y")),
                            lambda z: F.coalesce((z["x"] > 0) & (z["x"] == z["y"]), F.lit(False)))
     point = lambda c: (paired & c).cast("int")
     return (both.withColumn("name_point", point(same_name)).withColumn("rating_point", point(same_rating))
-            .withColumn("payoff", F.col("name_point") + F.col("rating_point")).drop("_a", "_b"))
+            .withColumn("payoff", F.col("name_point") + F.col("rating_point")).drop("_a", "_b", "_lone"))
 
 
 def decode_payoff(payoff: Column | str, same_name: Column) -> dict[str, Column]:
@@ -259,14 +265,14 @@ def decode_payoff(payoff: Column | str, same_name: Column) -> dict[str, Column]:
 
 
 def response_code(df: DataFrame, block: int = 1024) -> DataFrame:
-    """Code of each distinct answer by first appearance, scanning participant by participant
-    and trial by trial. Numbered in blocks of participants: no global sort in one task."""
-    first = df.where(F.col(RESPONSE).isNotNull()).groupBy(RESPONSE).agg(
-        F.min(F.struct(PERSON, RUN, TRIAL)).alias("at"))
-    from .ranking import bucketed_row_number
+    """Code of each distinct answer of a run by first appearance, scanning participant by
+    participant and trial by trial. Numbered in blocks of participants, so that a large run
+    is not sorted in one task."""
+    first = df.where(F.col(RESPONSE).isNotNull()).groupBy(RUN, RESPONSE).agg(
+        F.min(F.struct(PERSON, TRIAL)).alias("at"))
     coded = bucketed_row_number(first, F.floor(F.col(f"at.{PERSON}") / block),
-                                [f"at.{PERSON}", f"at.{RUN}", f"at.{TRIAL}"], name="code")
-    return coded.select(RESPONSE, F.col("code").cast("bigint").alias("code"))
+                                [f"at.{PERSON}", f"at.{TRIAL}"], [RUN], name="code")
+    return coded.select(RUN, RESPONSE, F.col("code").cast("bigint").alias("code"))
 
 
 def distinct_trials(df: DataFrame, keys: Sequence[str] = (RUN, TRIAL), order: str = PERSON) -> DataFrame:

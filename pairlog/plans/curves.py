@@ -25,7 +25,7 @@ def model_entropies(t):
         F.struct(F.lit(m).alias("Model"), F.col(c).alias("Response")) for m, c in MODELS.items()])).alias("x"))
     long = long.select(I.RUN, *I.CONDITION, I.TRIAL, "x.Model", "x.Response")
     e = E.trial_entropy(long, ("Model", I.RUN, *I.CONDITION, I.TRIAL), base=2)
-    return E.normalized_entropy(e, I.run_sizes(d)).withColumn("value", F.col("normalized"))
+    return E.normalized_entropy(e, I.run_sizes(t.log())).withColumn("value", F.col("normalized"))
 
 
 def wide(t):
@@ -80,7 +80,7 @@ def _(t):
           LEFT JOIN (SELECT * FROM v_models WHERE Model = 'Observed') o ON o.Identifier = c.Identifier AND o.TrialNumber = g.TrialNumber)
     GROUP BY ALL""")
 def _(t):
-    log = t.interactions()
+    log = t.log()
     e = E.trial_entropy(log, (I.RUN, *I.CONDITION, I.TRIAL), base=2)
     own = E.normalized_entropy(e, I.run_sizes(log)).select(I.RUN, *I.CONDITION, I.TRIAL, F.col("normalized").alias("value"))
     target = own.groupBy(*I.CONDITION, I.TRIAL).agg(F.avg("value").alias("target"))

@@ -26,10 +26,8 @@ def labelled(t):
       ON d.Identifier = c.Identifier AND d.TrialNumber = c.TrialNumber AND d.rn = 1""")
 def trial_summary(t):
     """Flagship: per run and trial, entropy, its share of the maximum, and the dominant answer."""
-    log = t.interactions()
-    e = E.normalized_entropy(E.trial_entropy(log, base=2), I.run_sizes(log))
-    d = I.dominant_response(log, (I.RUN, I.TRIAL))
-    return e.join(d, [I.RUN, I.TRIAL]).select(
+    log = t.log()
+    return E.normalized_entropy(E.trial_profile(log), I.run_sizes(log)).select(
         I.RUN, I.TRIAL, "entropy", "normalized", "DomResponse", "DomResponseCount", "DomResponseProp")
 
 
@@ -42,23 +40,23 @@ def _(t):
 
 @query("response_counts", "SELECT Identifier, TrialNumber, Response, n FROM v_counts")
 def _(t):
-    return I.response_counts(t.interactions())
+    return I.response_counts(t.log())
 
 
 @query("trial_entropy_nats", f"SELECT Identifier, TrialNumber, {r6('entropy')} AS entropy FROM v_entropy")
 def _(t):
-    return E.trial_entropy(t.interactions()).drop("respondents")
+    return E.trial_entropy(t.log()).drop("respondents")
 
 
 @query("trial_entropy_bits", f"SELECT Identifier, TrialNumber, {r6('entropy')} AS entropy FROM v_entropy2")
 def _(t):
-    return E.trial_entropy(t.interactions(), base=2).drop("respondents")
+    return E.trial_entropy(t.log(), base=2).drop("respondents")
 
 
 @query("normalized_entropy", f"""
     SELECT Identifier, TrialNumber, {r6('entropy / log2(Size)')} AS normalized FROM v_entropy2 JOIN v_sizes USING (Identifier)""")
 def _(t):
-    log = t.interactions()
+    log = t.log()
     return E.normalized_entropy(E.trial_entropy(log, base=2), I.run_sizes(log)).select(I.RUN, I.TRIAL, "normalized")
 
 
@@ -66,7 +64,7 @@ def _(t):
     SELECT Structure, Content, TrialNumber, {r6('avg(entropy / log2(Size))')} AS mean
     FROM v_entropy2 JOIN v_sizes USING (Identifier) JOIN v_cond USING (Identifier) GROUP BY ALL""")
 def _(t):
-    log = t.interactions()
+    log = t.log()
     e = E.trial_entropy(log, (I.RUN, *I.CONDITION, I.TRIAL), base=2)
     return E.condition_mean_curve(E.normalized_entropy(e, I.run_sizes(log)))
 
@@ -76,14 +74,14 @@ def _(t):
     FROM (SELECT TrialNumber, entropy - lag(entropy) OVER (PARTITION BY Identifier ORDER BY TrialNumber) AS d FROM v_entropy2)
     WHERE d IS NOT NULL GROUP BY ALL""")
 def _(t):
-    return E.entropy_delta_mean(E.trial_entropy(t.interactions(), base=2))
+    return E.entropy_delta_mean(E.trial_entropy(t.log(), base=2))
 
 
 @query("diff_successive", f"""
     SELECT Identifier, TrialNumber, {r6('entropy - lag(entropy) OVER (PARTITION BY Identifier ORDER BY TrialNumber)')} AS delta
     FROM v_entropy2""")
 def _(t):
-    return E.diff_successive(E.trial_entropy(t.interactions(), base=2)).select(I.RUN, I.TRIAL, "delta")
+    return E.diff_successive(E.trial_entropy(t.log(), base=2)).select(I.RUN, I.TRIAL, "delta")
 
 
 @query("dominant_response", f"""
@@ -93,7 +91,7 @@ def _(t):
                  sum(n) OVER (PARTITION BY Identifier, TrialNumber) AS N_ FROM v_counts) JOIN v_cond USING (Identifier)
     WHERE rn = 1""")
 def _(t):
-    return I.dominant_response(t.interactions())
+    return I.dominant_response(t.log())
 
 
 @query("lag_previous", f"""
@@ -102,7 +100,7 @@ def _(t):
                  sum(n) OVER (PARTITION BY Identifier, TrialNumber) AS N_ FROM v_counts) WHERE rn = 1
     WINDOW w AS (PARTITION BY Identifier ORDER BY TrialNumber)""")
 def _(t):
-    d = I.dominant_response(t.interactions(), (I.RUN, I.TRIAL))
+    d = I.dominant_response(t.log(), (I.RUN, I.TRIAL))
     out = I.lag_previous(d, {"DomResponseCount": "DomResponseCountPrev", "DomResponseProp": "DomResponsePropPrev"})
     return out.select(I.RUN, I.TRIAL, "DomResponseCountPrev", "DomResponsePropPrev")
 
@@ -137,7 +135,7 @@ def _(t):
           GROUP BY ALL) GROUP BY ALL""")
 def _(t):
     d = labelled(t)
-    shares = I.decision_shares(d).join(I.run_sizes(d), I.RUN)
+    shares = I.decision_shares(d).join(I.run_sizes(t.log()), I.RUN)
     return I.decision_shares_by_condition(shares)
 
 
@@ -145,7 +143,7 @@ def _(t):
     SELECT d.Structure, d.Content, d.TrialNumber, DecisionType, {r6('avg(Coordinate)')} AS DTCoordAvg
     FROM v_dec d JOIN v_coord c ON c.Identifier = d.Identifier AND c.id = d.id AND c.TrialNumber = d.TrialNumber GROUP BY ALL""")
 def _(t):
-    return I.coordination_by_decision(D.label_decisions(coordinated(t)))
+    return I.coordination_by_decision(labelled(t))
 
 
 @query("decision_pivot", """
@@ -166,12 +164,12 @@ def _proportions(size: str) -> str:
 
 @query("decision_proportion_curves", _proportions("Size"))
 def _(t):
-    return I.decision_proportion_curves(labelled(t))
+    return I.decision_proportion_curves(labelled(t), I.run_sizes(t.log()))
 
 
 @query("decision_proportion_curves_legacy", _proportions("CASE WHEN Content = 'Hashtag' THEN 20 ELSE Size END"))
 def _(t):
-    return I.decision_proportion_curves(labelled(t), F.when(F.col("Content") == "Hashtag", 20).otherwise(F.col("Size")))
+    return I.decision_proportion_curves(labelled(t), I.run_sizes(t.log()), F.when(F.col("Content") == "Hashtag", 20).otherwise(F.col("Size")))
 
 
 @query("points_by_decision", "SELECT DecisionType, CAST(sum(Points) AS BIGINT) AS Points FROM v_dec GROUP BY ALL")
@@ -216,14 +214,14 @@ def _(t):
     SELECT Content, Response, n, {r6('n / sum(n) OVER (PARTITION BY Content)')} AS share
     FROM (SELECT Content, Response, count(*) AS n FROM v_wide WHERE TrialNumber = 1 GROUP BY ALL)""")
 def _(t):
-    return I.prior(t.interactions(wide=True))
+    return I.prior(t.log(wide=True))
 
 
 @query("top_k_with_ties", """
     SELECT Content, Response, n FROM (SELECT *, rank() OVER (PARTITION BY Content ORDER BY n DESC) AS r
       FROM (SELECT Content, Response, count(*) AS n FROM v_wide GROUP BY ALL)) WHERE r <= 15""")
 def _(t):
-    counts = t.interactions(wide=True).groupBy("Content", "Response").agg(F.count(F.lit(1)).alias("n"))
+    counts = t.log(wide=True).groupBy("Content", "Response").agg(F.count(F.lit(1)).alias("n"))
     return K.top_k_with_ties(counts, "n", 15, ["Content"])
 
 
@@ -231,20 +229,20 @@ def _(t):
     SELECT Response, n FROM (SELECT *, rank() OVER (ORDER BY n DESC) AS r
       FROM (SELECT Response, count(*) AS n FROM v_wide GROUP BY ALL)) WHERE r <= 25""")
 def _(t):
-    counts = t.interactions(wide=True).groupBy("Response").agg(F.count(F.lit(1)).alias("n"))
+    counts = t.log(wide=True).groupBy("Response").agg(F.count(F.lit(1)).alias("n"))
     return K.top_k_with_ties(counts, "n", 25)
 
 
 @query("top_k_strict", """
     SELECT Response, count(*) AS n FROM v_wide GROUP BY ALL ORDER BY n DESC, Response LIMIT 5""")
 def _(t):
-    counts = t.interactions(wide=True).groupBy("Response").agg(F.count(F.lit(1)).alias("n"))
+    counts = t.log(wide=True).groupBy("Response").agg(F.count(F.lit(1)).alias("n"))
     return K.top_k_strict(counts, "n", 5, "Response")
 
 
 @query("sort_desc", "SELECT Response, count(*) AS n FROM v_wide GROUP BY ALL ORDER BY n DESC, Response")
 def _(t):
-    counts = t.interactions(wide=True).groupBy("Response").agg(F.count(F.lit(1)).alias("n"))
+    counts = t.log(wide=True).groupBy("Response").agg(F.count(F.lit(1)).alias("n"))
     return K.sort_desc(counts, "n", "Response")
 
 
@@ -253,7 +251,7 @@ def _(t):
       SELECT Response FROM (SELECT Response, rank() OVER (ORDER BY count(*) DESC) AS r FROM v_wide GROUP BY Response) WHERE r <= 5)
     GROUP BY ALL""")
 def _(t):
-    log = t.interactions(wide=True)
+    log = t.log(wide=True)
     counts = log.groupBy("Response").agg(F.count(F.lit(1)).alias("n"))
     kept = I.restrict_to(log, K.top_k_with_ties(counts, "n", 5), ["Response"])
     return kept.groupBy(I.RUN, I.TRIAL).agg(F.count(F.lit(1)).alias("n"))
@@ -267,7 +265,7 @@ def _(t):
     LEFT JOIN (SELECT Identifier, TrialNumber, Response, count(*) AS n FROM v_wide GROUP BY ALL) c
       ON c.Identifier = g.Identifier AND c.TrialNumber = g.TrialNumber AND c.Response = g.Response""")
 def _(t):
-    return I.trial_response_grid(t.interactions(wide=True))
+    return I.trial_response_grid(t.log(wide=True))
 
 
 @query("response_coordination", f"""
@@ -286,19 +284,19 @@ def _(t):
 @query("n_unique", """
     SELECT Structure, Content, count(DISTINCT id) AS n_unique FROM v_log GROUP BY ALL""")
 def _(t):
-    return I.n_unique(t.interactions(), "id", ["Structure", "Content"])
+    return I.n_unique(t.log(), "id", ["Structure", "Content"])
 
 
 @query("n_unique_approximate")
 def _(t):
-    return I.n_unique(t.interactions(), "id", ["Structure", "Content"], approximate=True)
+    return I.n_unique(t.log(), "id", ["Structure", "Content"], approximate=True)
 
 
 @query("linear_trend", f"""
     SELECT Identifier, {r6('regr_slope(entropy, TrialNumber)')} AS slope, {r6('regr_intercept(entropy, TrialNumber)')} AS intercept
     FROM v_entropy2 GROUP BY ALL""")
 def _(t):
-    return E.linear_trend(E.trial_entropy(t.interactions(), base=2))
+    return E.linear_trend(E.trial_entropy(t.log(), base=2))
 
 
 @query("distinct_trials", """
@@ -310,7 +308,7 @@ def _(t):
 
 @query("distinct_rows", "SELECT DISTINCT Identifier, Structure, Content FROM v_log")
 def _(t):
-    return R.distinct_rows(t.interactions(), ["Identifier", "Structure", "Content"])
+    return R.distinct_rows(t.log(), ["Identifier", "Structure", "Content"])
 
 
 @query("condition_rollup", f"""
@@ -321,7 +319,7 @@ def _(t):
           JOIN v_sizes USING (Identifier) JOIN v_cond USING (Identifier))
     GROUP BY GROUPING SETS ((TrialNumber, Content, Structure, Size), (TrialNumber, Content, Structure), (TrialNumber, Content), (TrialNumber))""")
 def _(t):
-    log = t.interactions()
+    log = t.log()
     e = E.trial_entropy(log, (I.RUN, *I.CONDITION, I.TRIAL), base=2)
     return E.condition_rollup(E.normalized_entropy(e, I.run_sizes(log)), "normalized")
 
@@ -330,7 +328,7 @@ def _(t):
     SELECT Identifier, TrialNumber, {r6('entropy - first_value(entropy) OVER (PARTITION BY Identifier ORDER BY TrialNumber)')} AS EntropyDifference
     FROM v_entropy""")
 def _(t):
-    return E.entropy_shift(E.trial_entropy(t.interactions())).select(I.RUN, I.TRIAL, "EntropyDifference")
+    return E.entropy_shift(E.trial_entropy(t.log())).select(I.RUN, I.TRIAL, "EntropyDifference")
 
 
 @query("previous_responses", """
@@ -343,7 +341,7 @@ def _(t):
 @query("respondents", """
     SELECT Identifier, id, TrialNumber, count(*) OVER (PARTITION BY Identifier, TrialNumber) AS NumRespondents FROM v_log""")
 def _(t):
-    return I.respondents(t.interactions()).select(I.RUN, I.PERSON, I.TRIAL, "NumRespondents")
+    return I.respondents(t.log()).select(I.RUN, I.PERSON, I.TRIAL, "NumRespondents")
 
 
 @query("running_score", """
@@ -361,10 +359,10 @@ def _(t):
 
 
 @query("response_code", """
-    SELECT Response, row_number() OVER (ORDER BY a) - 1 AS code FROM (
-      SELECT Response, min({'id': id, 'run': Identifier, 't': TrialNumber}) AS a FROM v_wide GROUP BY ALL)""")
+    SELECT Identifier, Response, row_number() OVER (PARTITION BY Identifier ORDER BY a) - 1 AS code FROM (
+      SELECT Identifier, Response, min({'id': id, 't': TrialNumber}) AS a FROM v_wide GROUP BY ALL)""")
 def _(t):
-    return I.response_code(t.interactions(wide=True))
+    return I.response_code(t.log(wide=True))
 
 
 @query("union_tables", """
@@ -385,7 +383,7 @@ def _(t):
 @query("pivot_wide", "SELECT Identifier, id, " + ", ".join(
     f"max(Response) FILTER (TrialNumber = {i}) AS TrialNumber_{i}" for i in range(1, 31)) + " FROM v_log GROUP BY ALL")
 def _(t):
-    return R.pivot_wide(t.interactions(), ["Identifier", "id"], "TrialNumber", "Response", range(1, 31))
+    return R.pivot_wide(t.log(), ["Identifier", "id"], "TrialNumber", "Response", range(1, 31))
 
 
 @query("score_pair", """

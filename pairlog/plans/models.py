@@ -8,25 +8,26 @@ from .registry import query
 
 
 def full(t):
-    return I.with_size(D.label_decisions(coordinated(t)))
+    d = D.label_decisions(t.interactions())
+    return d.join(I.run_sizes(t.log()), I.RUN)
 
 
 @query("fit_dominance")
 def _(t):
-    log = t.interactions()
+    log = t.log()
     return M.fit_dominance(I.dominant_response(log).join(I.run_sizes(log), I.RUN))
 
 
 @query("fit_entropy")
 def _(t):
-    log = t.interactions()
+    log = t.log()
     e = E.entropy_shift(E.trial_entropy(log, (I.RUN, *I.CONDITION, I.TRIAL)))
     return M.fit_entropy(e.join(I.run_sizes(log), I.RUN))
 
 
 @query("fit_coordination")
 def _(t):
-    return M.fit_coordination(I.with_size(coordinated(t)))
+    return M.fit_coordination(coordinated(t).join(I.run_sizes(t.log()), I.RUN))
 
 
 @query("fit_decision_type")
@@ -51,7 +52,7 @@ def _(t):
              CASE WHEN Content = 'Hashtag' THEN 1.0::DOUBLE ELSE 0 END AS Hashtag FROM v_log) GROUP BY ALL""")
 def _(t):
     from pyspark.sql import functions as F
-    p = t.interactions().groupBy("TrialNumber", "Structure", "Content").agg(F.count(F.lit(1)).alias("n"))
+    p = t.log().groupBy("TrialNumber", "Structure", "Content").agg(F.count(F.lit(1)).alias("n"))
     d = M.design_factors(p, ["Spatial", "Hashtag", "TrialNumber:Spatial:Hashtag"])
     return d.groupBy("TrialNumber", F.col("x0").alias("Spatial"), F.col("x1").alias("Hashtag"), F.col("x2").alias("triple")).agg(
         F.sum("n").alias("n"))

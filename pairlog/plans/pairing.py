@@ -152,7 +152,7 @@ def _(t):
     SELECT Identifier, TrialNumber, 2 * count(*) AS seated FROM v_pairs GROUP BY ALL HAVING 2 * count(*) < (SELECT max(Size) FROM v_sizes)""")
 def _(t):
     log = t.interactions()
-    full = I.run_sizes(log).agg(F.max("Size")).scalar()
+    full = I.run_sizes(t.log()).agg(F.max("Size")).scalar()
     return P.missing_seats(P.pairs_of_log(log), full, (I.RUN, I.TRIAL))
 
 
@@ -190,7 +190,7 @@ def _(t):
 @query("sample_schedule")
 def _(t):
     log = t.interactions()
-    sizes = I.run_sizes(log)
+    sizes = I.run_sizes(t.log())
     schedules = (P.pairs_of_log(log).join(sizes, I.RUN)
                  .select(F.col("Size").alias("n"), (F.pmod("TrialNumber", F.lit(10)) + 1).alias("seed"),
                          F.col("TrialNumber").alias("Trial"), "Node1", "Node2"))

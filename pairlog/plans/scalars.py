@@ -28,7 +28,7 @@ def _(t):
 @query("make_ssid", """
     SELECT concat(Identifier, '_', CAST(id AS VARCHAR)) AS ssid, count(*) AS n FROM v_log GROUP BY ALL""")
 def _(t):
-    return t.interactions().groupBy(S.make_ssid("Identifier", "id").alias("ssid")).agg(F.count(F.lit(1)).alias("n"))
+    return t.log().groupBy(S.make_ssid("Identifier", "id").alias("ssid")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("split_identifier", """
@@ -77,7 +77,7 @@ def _(t):
     SELECT TrialNumber, count(*) AS n FROM v_log
     WHERE Content = 'Hashtag' AND Structure IN ('Spatial') AND TrialNumber <> 1 GROUP BY ALL""")
 def _(t):
-    d = R.filter_condition(t.interactions(), Content="Hashtag", Structure=["Spatial"])
+    d = R.filter_condition(t.log(), Content="Hashtag", Structure=["Spatial"])
     return d.where(F.col("TrialNumber") != 1).groupBy("TrialNumber").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -15,7 +15,7 @@ _OPEN = "(SELECT max(ts) - INTERVAL 60 SECOND FROM v_log)"
 
 def log_stream(t, paired=False):
     """The canonical log written as files, and read back as a stream."""
-    log = t.interactions()
+    log = t.interactions(extra=["ts"])
     if paired:
         log = I.attach_partner(log)
     folder = work_dir(t.spark, "log")

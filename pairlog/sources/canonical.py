@@ -7,6 +7,8 @@ Each reads its whole table, and only the columns it needs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ranking import bucketed_row_number
@@ -27,43 +29,49 @@ class Tables:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     # -- interaction log ---------------------------------------------------------------
-    def answers(self) -> DataFrame:
+    def answers(self, *extra: str) -> DataFrame:
         """The last event of a user in a day is the answer of that trial. Kept by a
         mergeable aggregate, so a user with very many events is combined map-side."""
-        ev = self.table("events").select("user_id", "event_id", "ts", "event_type", "value")
-        last = ev.groupBy("user_id", F.dayofmonth("ts").alias("TrialNumber")).agg(
-            F.max(F.struct("ts", "event_id", "event_type", "value")).alias("e"))
+        cols = ["ts", "event_id", "event_type", *[c for c in extra if c != "ts"]]
+        last = self.table("events").groupBy("user_id", F.dayofmonth("ts").alias("TrialNumber")).agg(
+            F.max(F.struct(*cols)).alias("e"))
         return last.select(
             F.pmod("user_id", F.lit(RUNS)).cast("int").alias("run"),
             F.col("user_id").alias("id"), "TrialNumber",
-            F.col("e.event_type").alias("Response"), F.col("e.value").alias("value"),
-            F.col("e.ts").alias("ts"))
-
-    def interactions(self, wide: bool = False) -> DataFrame:
-        """(Identifier, Structure, Content, id, TrialNumber, Response, grp): each trial seats
-        a run's users in a shuffled order and pairs neighbours; an odd one stays alone.
-        ``wide`` answers carry one of eight suffixes, for about forty distinct values."""
-        a = self.answers()
-        seat = F.pmod(F.col("id") * 7919 + F.col("TrialNumber") * 104729, F.lit(SHUFFLE_MOD))
-        seated = bucketed_row_number(
-            a.withColumn("_seat", seat), F.floor(F.col("_seat") / _BUCKET_WIDTH),
-            ["_seat", "id"], partition=["run", "TrialNumber"], name="_pos")
+            F.col("e.event_type").alias("Response"), *[F.col(f"e.{c}").alias(c) for c in extra])
+
+    def _log(self, answers: DataFrame, wide: bool, *extra) -> DataFrame:
         response = F.col("Response")
         if wide:
             response = F.concat_ws("_", response, F.pmod(F.floor("value"), F.lit(8)).cast("string"))
-        return seated.select(
+        return answers.select(
             F.concat(F.lit("run"), F.col("run").cast("string")).alias("Identifier"),
             F.when(F.pmod("run", F.lit(2)) == 0, "Homogeneous").otherwise("Spatial").alias("Structure"),
             F.when(F.col("run") < 3, "Hashtag").otherwise("Face").alias("Content"),
-            "id", "TrialNumber", response.alias("Response"),
-            F.floor(F.col("_pos") / 2).cast("int").alias("grp"), "value", "ts")
+            "id", "TrialNumber", response.alias("Response"), *extra)
+
+    def log(self, wide: bool = False) -> DataFrame:
+        """(Identifier, Structure, Content, id, TrialNumber, Response), for operators which do
+        not look at pairs. ``wide`` answers carry one of eight suffixes, for about forty
+        distinct values."""
+        return self._log(self.answers(*(["value"] if wide else [])), wide)
+
+    def interactions(self, wide: bool = False, extra: Sequence[str] = ()) -> DataFrame:
+        """The log with pairs, ``grp``: each trial seats a run's users in a shuffled order and
+        pairs neighbours; an odd one stays alone."""
+        a = self.answers(*dict.fromkeys([*(["value"] if wide else []), *extra]))
+        seat = F.pmod(F.col("id") * 7919 + F.col("TrialNumber") * 104729, F.lit(SHUFFLE_MOD))
+        seated = bucketed_row_number(
+            a.withColumn("_seat", seat), F.floor(F.col("_seat") / _BUCKET_WIDTH),
+            ["_seat", "id"], partition=["run", "TrialNumber"], name="_pos")
+        return self._log(seated, wide, F.floor(F.col("_pos") / 2).cast("int").alias("grp"), *extra)
 
     def ratings(self) -> DataFrame:
         """The log plus five rating columns of which one is shown to both of a pair. Names
         of even users are upper case, and an answer with a value under 2 is left empty."""
         shown = F.pmod("grp", F.lit(len(IMPRESSIONS)))
         rating = (F.pmod(F.floor("value"), F.lit(7)) + 1).cast("int")
-        df = self.interactions()
+        df = self.interactions(extra=["value"])
         name = (F.when(F.col("value") < 2, F.lit(""))
                 .when(F.pmod("id", F.lit(2)) == 0, F.upper("Response")).otherwise(F.col("Response")))
         return df.select("Identifier", "id", "TrialNumber", "grp", name.alias("name"),
