@@ -50,13 +50,13 @@ def model_comparison_table(long: DataFrame, models: Sequence[str], structures: S
 
 
 def difference_curves(long: DataFrame, reference: str) -> DataFrame:
-    """|reference - model| per trial and condition, by one grouping per point: the model rows
-    carry the reference of their own cell."""
-    ref = (long.where(F.col("Model") == reference)
-           .select("Trial", "Structure", "Content", F.col("Entropy").alias("_ref")))
-    models = long.where(F.col("Model") != reference)
-    return (models.join(ref, ["Trial", "Structure", "Content"])
-            .select("Trial", "Model", "Structure", "Content", F.abs(F.col("_ref") - F.col("Entropy")).alias("gap")))
+    """|reference - model| per trial and condition. A cell holds one row per model, and each
+    picks up the reference of its own cell, so that the curves are worked out once."""
+    ref = F.max(F.when(F.col("Model") == reference, F.col("Entropy"))).over(
+        W.partitionBy("Trial", "Structure", "Content"))
+    gaps = long.withColumn("gap", F.abs(ref - F.col("Entropy")))
+    return (gaps.where((F.col("Model") != reference) & F.col("gap").isNotNull())
+            .select("Trial", "Model", "Structure", "Content", "gap"))
 
 
 def mean_abs_gap(differences: DataFrame) -> DataFrame:

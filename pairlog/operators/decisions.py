@@ -143,17 +143,26 @@ def alpha_grid() -> Column:
 def propensity_likelihood(df: DataFrame, gamma: float = 1.0, by: Sequence[str] = CONDITION) -> DataFrame:
     """Log-likelihood of the observed next decisions for every alpha of the grid.
 
-    A probability depends on a row only through a few small integers, so the log is first
-    counted by that state and the grid is unfolded over states, not over rows."""
+    With base = t + points, P(BN) is alpha / (base + alpha), and any other decision has
+    base / (base + alpha) times a factor q which is free of alpha. So ln q is summed while
+    the log is counted by base, and the grid is unfolded over that short table. Where q is so
+    small that the floor could bite somewhere on the grid, q stays part of the count key.
+    """
     s = choice_states(df).where(F.col("next").isNotNull())
-    state = [*by, TRIAL, "rp_pts", "ec_pts", "rs_pts", "has_memory", "next"]
-    counted = s.groupBy(*state).agg(F.count(F.lit(1)).alias("n"))
+    p_ec, p_rp = context_split(F.col(TRIAL), F.col("rp_pts"), F.col("ec_pts"), F.col("rs_pts"), gamma, F.col("has_memory"))
+    q = (F.when(F.col("next") == "EC", p_ec).when(F.col("next") == "RP", (1 - p_ec) * p_rp)
+         .when(F.col("next") == "RS", (1 - p_ec) * (1 - p_rp)))
+    safe = F.col("q") >= FLOOR * (1 + ALPHA_STEPS / 10.0)
+    counted = (s.select(*by, "next", (F.col(TRIAL) + F.col("rp_pts") + F.col("ec_pts") + F.col("rs_pts")).alias("base"), q.alias("q"))
+               .groupBy(*by, "base", (F.col("next") == "BN").alias("new"), F.when(~safe, F.col("q")).alias("tiny"))
+               .agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(safe, F.ln("q")).otherwise(0.0)).alias("lnq")))
+    alpha, base, n = F.col("alpha"), F.col("base"), F.col("n")
+    floored = lambda p: n * F.ln(F.greatest(p, F.lit(FLOOR)))
+    term = (F.when(F.col("new"), floored(alpha / (base + alpha)))
+            .when(F.col("tiny").isNotNull(), floored(base / (base + alpha) * F.col("tiny")))
+            .otherwise(n * F.ln(base / (base + alpha)) + F.col("lnq")))
     grid = counted.withColumn("alpha", F.explode(alpha_grid()))
-    p = propensities(F.col(TRIAL), F.col("rp_pts"), F.col("ec_pts"), F.col("rs_pts"), F.col("alpha"),
-                     gamma, F.col("has_memory"))
-    chosen = F.coalesce(*[F.when(F.col("next") == d, p[d]) for d in p])
-    return grid.groupBy(*by, "alpha").agg(
-        F.sum(F.col("n") * F.ln(F.greatest(chosen, F.lit(FLOOR)))).alias("loglik"), F.sum("n").alias("n"))
+    return grid.groupBy(*by, "alpha").agg(F.sum(term).alias("loglik"), F.sum("n").alias("n"))
 
 
 def propensity_fit(df: DataFrame, gamma: float = 1.0, by: Sequence[str] = CONDITION) -> DataFrame:

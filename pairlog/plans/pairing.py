@@ -64,11 +64,11 @@ def _(t):
 
 @query("ring_schedule", f"""
     SELECT CAST(r + 1 AS INT) AS "Trial", node AS Node1,
-           CASE r % 4 WHEN 0 THEN node + 1 WHEN 1 THEN node + 2
+           CASE r % 4 WHEN 0 THEN node + 1 WHEN 1 THEN CASE WHEN odd_half AND node = n - 1 THEN n ELSE node + 2 END
                 WHEN 2 THEN CASE WHEN node = 1 THEN n ELSE node + 1 END
-                ELSE CASE WHEN node = 1 THEN n - 1 ELSE node + 2 END END AS Node2
-    FROM (SELECT c_custkey + 1 AS node, {_N} AS n FROM customer), range(0, {ROUNDS}) g(r)
-    WHERE n % 4 = 0 AND CASE r % 4 WHEN 0 THEN node % 2 = 1 WHEN 1 THEN node % 4 IN (1, 2)
+                ELSE CASE WHEN node = 1 THEN n - 1 WHEN odd_half AND node = n - 3 THEN n ELSE node + 2 END END AS Node2
+    FROM (SELECT c_custkey + 1 AS node, {_N} AS n, {_N} % 4 = 2 AS odd_half FROM customer), range(0, {ROUNDS}) g(r)
+    WHERE CASE r % 4 WHEN 0 THEN node % 2 = 1 WHEN 1 THEN node % 4 IN (1, 2) AND node < n
           WHEN 2 THEN node = 1 OR (node % 2 = 0 AND node < n) ELSE node = 1 OR (node % 4 IN (2, 3) AND node < n - 1) END""")
 def _(t):
     return P.ring_schedule(*people(t), rounds=ROUNDS)

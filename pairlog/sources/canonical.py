@@ -24,9 +24,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """Opened once per query, so that file footers are read once."""
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._opened[name]
 
     # -- interaction log ---------------------------------------------------------------
     def answers(self, *extra: str) -> DataFrame:
