@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import as_col, lookup, make_ssid
-from .ranking import levels_array, top_k_with_ties
+from .ranking import level_arrays, top_k_with_ties
 
 AUTHOR = ("Structure", "Content", "Size", "random_id")
 CONDITION = ("Structure", "Content")
@@ -57,6 +57,7 @@ MODEL_RELATIONS = [
     ("Tsunami", "Destruction"),
 ]
 MAX_LEVELS = 1000
+MAX_CELLS = 100_000
 
 
 def map_topics(cluster: Column | str, table: Mapping[int, str] = TOPICS) -> Column:
@@ -133,39 +134,75 @@ def relation_counts(claims: DataFrame) -> DataFrame:
     return claims.groupBy(*AUTHOR, "Phase", "cause_topic", "effect_topic").agg(F.count(F.lit(1)).alias("count"))
 
 
-def complete(counts: DataFrame, anchor: Sequence[str], keys: Sequence[str], value: str,
-             max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Every combination of the observed ``anchor`` rows and the observed levels of each key,
-    absent ones with value 0. Keys have few levels (checked): they are unfolded from short
-    arrays next to each anchor row. The anchor may be of any size."""
-    cells = counts.select(*anchor).distinct()
-    for key in keys:
-        cells = cells.withColumn(key, F.explode(levels_array(counts, key, max_levels)))
-    on = [*anchor, *keys]
-    return cells.join(counts, on, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)))
+def _cells(keys: Sequence[str], *rest: Column, bound: Sequence[Column] = ()) -> Column:
+    """Array of structs with every combination of the level arrays named ``keys``."""
+    head, tail = keys[0], keys[1:]
+    if tail:
+        return F.flatten(F.transform(head, lambda x: _cells(tail, *rest, bound=[*bound, x.alias(head)])))
+    return F.transform(head, lambda x: F.struct(*bound, x.alias(head), *rest))
 
 
-def relation_shifts(counts: DataFrame) -> DataFrame:
+def complete(counts: DataFrame, anchor: Sequence[str], keys: Sequence[str], value: str,
+             max_levels: int = MAX_LEVELS, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Every combination of the observed ``anchor`` rows and the observed levels of each key,
+    absent ones with value 0.
+
+    Keys have few levels (checked, and so is their product); the anchor may be of any size.
+    Only the observed counts are shuffled, by anchor. The zero cells come from one short array
+    after the shuffle, and the sum which merges both keeps to the anchor's partitioning.
+    """
+    levels = level_arrays(counts, keys, max_levels)
+    zero = F.lit(0).cast("bigint").alias("_v")
+    product = F.lit(1)
+    for k in keys:
+        product = product * F.size(k)
+    zeros = levels.select(F.when(product > max_cells, F.raise_error(F.lit(f"more than {max_cells} cells per row")))
+                          .otherwise(_cells(keys, zero))).scalar()
+    seen = F.collect_list(F.struct(*keys, F.col(value).cast("bigint").alias("_v")))
+    packed = counts.groupBy(*anchor).agg(seen.alias("_seen")).withColumn("_zeros", zeros)
+    rows = packed.select(*anchor, F.explode(F.concat("_seen", "_zeros")).alias("_c"))
+    return (rows.select(*anchor, *[F.col(f"_c.{k}").alias(k) for k in keys], F.col("_c._v").alias("_v"))
+            .groupBy(*anchor, *keys).agg(F.sum("_v").alias(value)))
+
+
+def relation_shifts(claims: DataFrame, weight: str | None = None) -> DataFrame:
     """post - pre per participant and relation, over the relations the participant used at
-    all. All others are zero by definition; the tests below count them without building
-    them (``complete`` builds them where the full table itself is wanted)."""
-    signed = F.when(F.col("Phase") == "post", F.col("count")).otherwise(-F.col("count"))
-    return counts.groupBy(*AUTHOR, "cause_topic", "effect_topic").agg(F.sum(signed).alias("difference"))
+    all, from claim rows or from counted ones (``weight``). All others are zero by definition;
+    the tests below count them without building them (``complete`` builds them where the full
+    table itself is wanted)."""
+    n = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    signed = F.when(F.col("Phase") == "post", n).otherwise(-n)
+    return claims.groupBy(*AUTHOR, "cause_topic", "effect_topic").agg(F.sum(signed).alias("difference"))
 
 
-def relation_moments(shifts: DataFrame, participants: DataFrame) -> DataFrame:
+def relation_moments(shifts: DataFrame) -> DataFrame:
     """n, Σx and Σx² of the shifts per condition and relation, zeros included: n is the
     condition's participants, and zeros add nothing to either sum. Relations not used in a
-    condition but used elsewhere are all-zero rows of it."""
-    sums = shifts.groupBy(*CONDITION, "cause_topic", "effect_topic").agg(
-        F.sum("difference").alias("sx"), F.sum(F.col("difference") * F.col("difference")).alias("sxx"))
-    n = participants.select(*AUTHOR).distinct().groupBy(*CONDITION).agg(F.count(F.lit(1)).alias("n"))
-    cells = n
+    condition but used elsewhere are all-zero rows of it.
+
+    One pass over the shifts: a participant's few relations meet in one row, where the first
+    stands for the participant, so that summing the firsts counts people. What follows works
+    on the table of conditions and relations alone."""
+    own = F.collect_list(F.struct("cause_topic", "effect_topic", "difference"))
+    rows = (shifts.groupBy(*AUTHOR).agg(own.alias("_own"))
+            .select(*CONDITION, F.posexplode("_own").alias("_pos", "_r")))
+    d = F.col("_r.difference")
+    sums = rows.groupBy(*CONDITION, F.col("_r.cause_topic").alias("cause_topic"), F.col("_r.effect_topic").alias("effect_topic")).agg(
+        F.sum(d).alias("sx"), F.sum(d * d).alias("sxx"), F.sum((F.col("_pos") == 0).cast("bigint")).alias("people"))
+    # one row per condition; the levels are those of all conditions together
+    packed = sums.groupBy(*CONDITION).agg(
+        F.sum("people").alias("n"), F.collect_list(F.struct("cause_topic", "effect_topic", "sx", "sxx")).alias("_seen"))
+    everywhere = W.partitionBy(F.lit(0))
     for key in ("cause_topic", "effect_topic"):
-        cells = cells.withColumn(key, F.explode(levels_array(participants, key, MAX_LEVELS)))
-    on = [*CONDITION, "cause_topic", "effect_topic"]
-    return cells.join(sums, on, "left").select(
-        *on, "n", F.coalesce("sx", F.lit(0)).alias("sx"), F.coalesce("sxx", F.lit(0)).alias("sxx"))
+        packed = packed.withColumn(f"_{key}", F.collect_list(F.col("_seen").getField(key)).over(everywhere))
+    levels = packed.select(*CONDITION, "n", "_seen", *[
+        F.array_compact(F.array_distinct(F.flatten(f"_{key}"))).alias(key) for key in ("cause_topic", "effect_topic")])
+    none = F.lit(0).cast("bigint")
+    cells = levels.select(*CONDITION, "n", F.explode(F.concat(
+        "_seen", _cells(("cause_topic", "effect_topic"), none.alias("sx"), none.alias("sxx")))).alias("_c"))
+    return cells.groupBy(*CONDITION, "n", "_c.cause_topic", "_c.effect_topic").agg(
+        F.sum("_c.sx").alias("sx"), F.sum("_c.sxx").alias("sxx")).select(
+        *CONDITION, "cause_topic", "effect_topic", "n", "sx", "sxx")
 
 
 def unique_signers(shifts: DataFrame) -> DataFrame:

@@ -201,9 +201,12 @@ def reissue_duplicate_ids(people: DataFrame, record: str, id_col: str = "partici
               .groupBy("_candidate").agg(F.min(record).alias("_first")))
     taken = people.select(F.col(id_col).cast("string").alias("_candidate")).distinct().withColumn("_held", F.lit(True))
     # both lookup tables have at most one row per id, and candidates at most 90 000 values
-    joined = out.join(wanted.join(taken, "_candidate", "left"), "_candidate", "left")
+    # keepers have no candidate; they get keys of their own instead of sharing the NULL one
+    key = F.coalesce(F.col("_candidate"), F.concat(F.lit("#"), F.col(record).cast("string")))
+    lookup = wanted.join(taken, "_candidate", "left").withColumnRenamed("_candidate", "_key")
+    joined = out.withColumn("_key", key).join(lookup, "_key", "left")
     free = F.col("_held").isNull() & (F.col("_first") == F.col(record))
     new_id = (F.when(F.col("_candidate").isNull(), F.col(id_col).cast("string"))
               .when(free, F.col("_candidate"))
               .otherwise(F.concat_ws("-", F.col("_candidate"), F.col(record).cast("string"))))
-    return joined.withColumn("new_id", new_id).drop("_candidate", "_first", "_held")
+    return joined.withColumn("new_id", new_id).drop("_candidate", "_first", "_held", "_key")

@@ -51,12 +51,15 @@ def sort_desc(df: DataFrame, by: str, tie: str) -> DataFrame:
     return df.orderBy(F.desc(by), F.asc(tie))
 
 
-def levels_array(df: DataFrame, col: str, limit: int) -> Column:
-    """The observed distinct values of a column of bounded cardinality, as one sorted array
-    (a scalar subquery: no job runs here). More than ``limit`` values raise at run time."""
-    few = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1)
-    packed = few.agg(F.sort_array(F.collect_list(col)).alias("a"))
-    checked = packed.select(
-        F.when(F.size("a") > limit, F.raise_error(F.lit(f"more than {limit} levels in {col}")))
-        .otherwise(F.col("a")))
-    return checked.scalar()
+def level_arrays(df: DataFrame, cols: Sequence[str], limit: int) -> DataFrame:
+    """The observed distinct values of columns of bounded cardinality, as one row with one
+    sorted array per column, from one pass. More than ``limit`` values in all raise at run time."""
+    named = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("x"))
+    few = named.where(F.col("x.v").isNotNull()).select("x.c", "x.v").distinct().limit(limit + 1)
+    packed = few.agg(F.count(F.lit(1)).alias("n"), *[
+        F.sort_array(F.collect_list(F.when(F.col("c") == c, F.col("v")))).alias(c) for c in cols])
+    kind = {c: df.schema[c].dataType.simpleString() for c in cols}
+    checked = lambda c: F.when(F.col("n") > limit, F.raise_error(F.lit(f"more than {limit} levels"))).otherwise(
+        F.col(c).cast(f"array<{kind[c]}>"))
+    return packed.select(*[checked(c).alias(c) for c in cols])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import split_identifier
+from .ranking import bucketed_row_number
 
 
 def union_tables(*frames: DataFrame) -> DataFrame:
@@ -79,9 +80,12 @@ def adjacency_to_edges(matrix: DataFrame, node: str = "node", row: str = "row")
     return cells.where(F.col("x") == 1).select("u", "v")
 
 
-def neighbour_lists(edges: DataFrame) -> DataFrame:
-    """Adjacency lists of a sparse graph (each list is as long as a node's degree)."""
-    return edges.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("neighbours"))
+def neighbour_lists(edges: DataFrame, part_size: int = 1000, block: int = 4096) -> DataFrame:
+    """Adjacency lists in ascending order. A node with very many neighbours gets several rows,
+    numbered by ``part``, so that no list outgrows ``part_size``."""
+    placed = bucketed_row_number(edges, F.floor(F.col("v") / block), ["v"], ["u"])
+    parts = placed.groupBy("u", F.floor(F.col("pos") / part_size).cast("int").alias("part"))
+    return parts.agg(F.sort_array(F.collect_list("v")).alias("neighbours"))
 
 
 def drop_na(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
