@@ -210,3 +210,23 @@ def reissue_duplicate_ids(people: DataFrame, record: str, id_col: str = "partici
               .when(free, F.col("_candidate"))
               .otherwise(F.concat_ws("-", F.col("_candidate"), F.col(record).cast("string"))))
     return joined.withColumn("new_id", new_id).drop("_candidate", "_first", "_held", "_key")
+
+
+def hub_matching(nodes: DataFrame, n: Number, rounds: int, hubs: int, seed: int = 0) -> DataFrame:
+    """A random perfect matching of ring plus hubs (n even) per round. Each hub draws a partner
+    from a slot of its own among the other nodes, never the slot's last one, so that two drawn
+    partners are never neighbours; the nodes left over pair up in ring order, which spans at
+    most one drawn partner. Needs n >= 4 * hubs."""
+    d = _rounds(nodes, n, rounds)
+    width = F.floor((F.col("n") - hubs) / hubs)
+    drawn = [F.lit(hubs + 1) + (j * width) + F.pmod(F.xxhash64(F.lit(seed), F.col("Trial"), F.lit(j)), width - 1)
+             for j in range(hubs)]
+    d = d.withColumn("drawn", F.array(*drawn))
+    taken = lambda node: F.array_contains("drawn", node)
+    below = F.size(F.filter("drawn", lambda p: p < F.col("node")))
+    rank = F.col("node") - hubs - 1 - below
+    is_hub = F.col("node") <= hubs
+    after = F.col("node") + F.when(taken(F.col("node") + 1), 2).otherwise(1)
+    partner = F.when(is_hub, F.get("drawn", (F.col("node") - 1).cast("int"))).otherwise(after)
+    opens = is_hub | (~taken(F.col("node")) & (F.pmod(rank, F.lit(2)) == 0))
+    return _ordered(d.where(opens), F.col("node"), partner)

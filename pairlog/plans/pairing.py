@@ -94,6 +94,24 @@ def _(t):
     return seats.groupBy("Trial").agg(F.count(F.lit(1)).alias("seated"))
 
 
+@query("hub_matching")
+def _(t):
+    return P.hub_matching(*people(t), rounds=ROUNDS, hubs=2, seed=3)
+
+
+@query("hub_matching_seats", f"""
+    SELECT CAST(r AS INT) AS "Trial", count(*) AS seated, 0::BIGINT AS off_graph FROM customer, range(1, {ROUNDS + 1}) g(r) GROUP BY ALL""")
+def _(t):
+    """Everybody sits once per round, and along edges of the network only."""
+    nodes, n = people(t)
+    d = P.hub_matching(nodes, n, ROUNDS, hubs=2, seed=3)
+    edges = P.hub_edges(nodes, n, hubs=2).select(F.col("u").alias("Node1"), F.col("v").alias("Node2"), F.lit(0).alias("off"))
+    seats = (d.join(edges, ["Node1", "Node2"], "left").select("Trial", F.coalesce("off", F.lit(1)).alias("off"),
+             F.explode(F.array("Node1", "Node2")).alias("node")))
+    once = seats.groupBy("Trial", "node").agg(F.sum("off").alias("off"))
+    return once.groupBy("Trial").agg(F.count(F.lit(1)).alias("seated"), F.sum("off").alias("off_graph"))
+
+
 @query("edge_canonical", """
     SELECT DISTINCT least(l_partkey, l_suppkey) AS u, greatest(l_partkey, l_suppkey) AS v FROM lineitem WHERE l_partkey <> l_suppkey""")
 def _(t):

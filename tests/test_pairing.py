@@ -56,6 +56,15 @@ def test_random_matching(spark, n):
     assert {tuple(r) for r in s.collect()} != {tuple(r) for r in P.random_matching(nodes(spark, n), n, 12, seed=6).collect()}
 
 
+@pytest.mark.parametrize("n,hubs", [(8, 1), (20, 1), (20, 2), (50, 3)])
+def test_hub_matching(spark, n, hubs):
+    s = P.hub_matching(nodes(spark, n), n, 12, hubs, seed=2)
+    assert perfect(s, n, 12)
+    edges = {tuple(r) for r in P.hub_edges(nodes(spark, n), n, hubs=hubs).collect()}
+    assert {(r.Node1, r.Node2) for r in s.collect()} <= edges
+    assert len({r.Node2 for r in s.collect() if r.Node1 == 1}) > 1
+
+
 def test_ring_and_hubs(spark):
     ring = {tuple(r) for r in P.ring_edges(nodes(spark, 6), 6).collect()}
     assert len(ring) == 12 and (1, 6) in ring and (1, 5) in ring and (1, 4) not in ring
