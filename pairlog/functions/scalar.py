@@ -128,10 +128,11 @@ def wrap_round(c: Column | str, n: int = 40) -> Column:
 
 
 def log_base(c: Column | str, base: str | float = "e") -> Column:
+    """Logarithm as R and numpy have it: minus infinity at zero (Spark alone gives NULL), NaN
+    below it."""
     c = as_col(c)
-    if base == "e":
-        return F.ln(c)
-    return F.log2(c) if float(base) == 2.0 else F.ln(c) / F.ln(F.lit(float(base)))
+    log = F.ln(c) if base == "e" else F.log2(c) if float(base) == 2.0 else F.ln(c) / F.ln(F.lit(float(base)))
+    return F.when(c > 0, log).when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan")))
 
 
 def parse_recorded_date(c: Column | str) -> Column:

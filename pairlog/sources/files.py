@@ -126,12 +126,11 @@ def read_curves(spark: SparkSession, path) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
                 mode: str = "errorifexists") -> None:
-    """Write a table, partitioned so that condition filters prune folders. Rows are
-    first clustered on the partition columns with a spread key, so that a hot partition
-    is written by many tasks and a small one does not become thousands of files."""
+    """Write a table, partitioned so that condition filters prune folders. Rows are rebalanced
+    on the partition columns first: AQE splits a partition value which holds much of the data
+    over many tasks, and merges small ones, so that file sizes stay even."""
     if partition_by:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-        df = df.repartition(*[F.col(c) for c in partition_by], spread)
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         writer.option("header", True).csv(path)

@@ -42,6 +42,13 @@ def test_labels(spark):
     assert tuple(r) == ("Strongly agree (7)", None, None, 2, None, 1, "*")
 
 
+def test_log_base(spark):
+    r = one(spark, e=S.log_base(F.lit(math.e)), two=S.log_base(F.lit(20), 2), ten=S.log_base(F.lit(100.0), 10),
+            zero=S.log_base(F.lit(0.0)), none=S.log_base(F.lit(None).cast("double"), 2))
+    assert r.e == pytest.approx(1.0) and r.two == pytest.approx(4.3219281) and r.ten == pytest.approx(2.0)
+    assert r.zero == -math.inf and r.none is None
+
+
 def test_recorded_date(spark):
     r = one(spark, a=S.parse_recorded_date(F.lit("5/22/2024 12:30")), b=S.parse_recorded_date(F.lit("soon")))
     assert str(r.a) == "2024-05-22 12:30:00" and r.b is None
