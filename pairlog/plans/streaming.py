@@ -45,7 +45,7 @@ def _(t):
 def _(t):
     counts = L.drain(L.stream_response_counts(log_stream(t)), "entropy")
     e = E.entropy_of_counts(counts, ["Identifier", "window_start"])
-    return e.select("Identifier", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "entropy")
+    return e.select("Identifier", L.utc_clock(F.col("window_start")).alias("window_start"), "entropy")
 
 
 @query("stream_running_score", """
@@ -69,7 +69,7 @@ def _(t):
     GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 60 SECOND FROM events)""")
 def _(t):
     d = L.drain(L.stream_sessions(event_stream(t), gap="6 hours"), "sessions")
-    return d.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+    return d.withColumns({c: L.utc_clock(F.col(c)) for c in ("session_start", "session_end")})
 
 
 @query("stream_decisions", "SELECT Identifier, id, TrialNumber, DecisionType FROM v_dec")

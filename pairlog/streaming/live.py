@@ -10,7 +10,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import work_dir
@@ -18,12 +18,24 @@ from ..session import work_dir
 ANSWER_TIMEOUT = "60 seconds"
 
 
+def utc_instant(clock: Column) -> Column:
+    """A clock time without zone, read as UTC whatever the session's zone, as an instant."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), clock).cast("timestamp")
+
+
+def utc_clock(instant: Column) -> Column:
+    """Back from an instant to the UTC clock time."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def answer_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_batch: int = 64) -> DataFrame:
     """Files of a folder as a stream; event time gets the type that watermarks want."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = reader.parquet(folder)
+    zoneless = schema["ts"].dataType.typeName() == "timestamp_ntz"
+    return stream.withColumn("ts", utc_instant(F.col("ts"))) if zoneless else stream
 
 
 def stream_pair_score(answers: DataFrame, window: str = "1 day", late: str = ANSWER_TIMEOUT) -> DataFrame:
