@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from typing import NamedTuple
@@ -9,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
+from ..session import ship
 from ..sources.canonical import Tables
 
 
@@ -43,7 +45,11 @@ def r6(expr: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, q=q: tidy(q.build(Tables(spark, sf_dir)))) for name, q in _REGISTRY.items()}
+    def run(spark: SparkSession, sf_dir: str, q: Query) -> DataFrame:
+        ship(spark)
+        return tidy(q.build(Tables(spark, sf_dir)))
+
+    return {name: functools.partial(run, q=q) for name, q in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,27 @@ def local_session(cores: int | str = "*", app: str = "pairlog", **conf: str) ->
     return builder.getOrCreate()
 
 
+_SHIPPED = "PAIRLOG_SHIPPED"
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package wherever the driver was started: a zip of its
+    sources, sent with ``addPyFile`` once for each Spark application."""
+    context = spark.sparkContext
+    if context.environment.get(_SHIPPED):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="pairlog-sources-"), f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(target)
+    context.environment[_SHIPPED] = "1"
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables, stream sinks and checkpoints.
 
