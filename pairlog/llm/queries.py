@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import best_fit, token_files
+from . import best_fit, licenses, quality, token_files, toxicity
+from .common import hash_remainder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -33,12 +34,36 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+@query("op1_license_scan")
+def op1(table) -> DataFrame:
+    return licenses.digest(licenses.scan(table("documents")))
+
+
 @query("op5_token_binary")
 def op5(table) -> DataFrame:
     docs = table("documents")
     return token_files.read_documents(docs.sparkSession, token_files.write_shards(docs))
 
 
+@query("op6_toxicity")
+def op6(table) -> DataFrame:
+    docs = table("documents")
+    model = toxicity.fit(docs, table("labels"), usable=hash_remainder("doc_id", 4) != 2)
+    return verdicts(toxicity.score(docs, model), 0.3)
+
+
+@query("op9_quality")
+def op9(table) -> DataFrame:
+    docs = table("documents")
+    model = quality.fit(docs, table("labels"), usable=hash_remainder("doc_id", 4) != 2)
+    return verdicts(quality.score(docs, model), 0.7)
+
+
+def verdicts(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(hash_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 @query("op10_best_fit_packing")
 def op10(table) -> DataFrame:
     return best_fit.pack(table("documents"), 2048).select(
