@@ -109,7 +109,7 @@ def train(texts: list[str], y: np.ndarray, share: float, width: int = 8, steps:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, rows: int = 2500,
-        size: int = 2_500_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+        size: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fitted on at most ``rows`` texts and ``size`` bytes of each label; runs Spark jobs to draw them."""
     sample = labelled_sample(docs, labels, label, F.lit(True) if usable is None else usable, rows, size, id_col, text_col)
     y = np.array(sample.labels, dtype=float)
