@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import best_fit, licenses, quality, token_files, toxicity
+from . import best_fit, decontaminate, language, licenses, quality, token_files, toxicity
 from .common import hash_remainder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,19 @@ def op1(table) -> DataFrame:
     return licenses.digest(licenses.scan(table("documents")))
 
 
+@query("op3_decontaminate")
+def op3(table) -> DataFrame:
+    return decontaminate.digest(decontaminate.scan(table("documents"), table("benchmark")))
+
+
+@query("op4_language")
+def op4(table) -> DataFrame:
+    docs = table("documents")
+    model = language.fit(docs, usable=hash_remainder("doc_id", 3) != 1)
+    return language.identify(docs, model).select(
+        "doc_id", F.coalesce(hash_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query("op5_token_binary")
 def op5(table) -> DataFrame:
     docs = table("documents")

@@ -14,6 +14,7 @@ of label 1, or 0 without any label; repeated rows score alike; an empty table gi
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -146,19 +147,19 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}  # of a worker, by scoring run
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score; the model is a table of fixed size."""
     rows = texts_of(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        if shared.id not in _SCORERS:
+        if key not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[shared.id] = Scorer(shared.value)
-        return {"doc_id": batch["doc_id"], "score": pa.array(_SCORERS[shared.id].scores(string_list(batch["text"])))}
+            _SCORERS[key] = Scorer(shared.value)
+        return {"doc_id": batch["doc_id"], "score": pa.array(_SCORERS[key].scores(string_list(batch["text"])))}
 
     return rows.mapInArrow(per_batch(work, ["doc_id", "score"]), f"doc_id {kind}, score double")
