@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import best_fit, decontaminate, language, licenses, quality, token_files, toxicity
+from . import best_fit, decontaminate, jaccard_join, language, licenses, quality, token_files, toxicity
 from .common import hash_remainder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op6(table) -> DataFrame:
     return verdicts(toxicity.score(docs, model), 0.3)
 
 
+@query("op8_jaccard_join")
+def op8(table) -> DataFrame:
+    return jaccard_join.join_groups(table("documents"))
+
+
 @query("op9_quality")
 def op9(table) -> DataFrame:
     docs = table("documents")
