@@ -1,8 +1,85 @@
-"""A training corpus from ``documents`` in stages; filled in below as operators arrive."""
+"""A training corpus from ``documents``, in stages.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and gives documents with the columns of ``documents``, the last
+one the packed pieces. Stages are written as Parquet and read again, so each works on all that the one
+before it kept, and no stage is computed twice.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pairlog.llm import best_fit, decontaminate, jaccard_join, line_spread, quality
+from pairlog.llm.common import fold, hash_remainder, unfold
+from pairlog.session import ship, truncate_lineage, work_dir
+
+QUALITY_THRESHOLD = 0.7
+CAPACITY = 2048
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier scores at least ``QUALITY_THRESHOLD``."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    model = quality.fit(docs, labels, usable=hash_remainder("doc_id", 4) != 2)
+    return unfold(quality.score(fold(docs), model, keep_text=True).where(F.col("score") >= QUALITY_THRESHOLD), docs.columns)
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on many sites stay in one place only. A document of which nothing is left goes: all it held
+    stands elsewhere. n_chars follows the text."""
+    cleaned = line_spread.remove_boilerplate(docs)
+    left = F.col("n_removed").eqNullSafe(0) | (F.length(F.trim(F.translate("text", "\n\r\t", "   "))) > 0)
+    return cleaned.where(left).withColumn(
+        "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; of rows that repeat that id,
+    one. Documents without words or without id are no one's copies."""
+    ship(spark)
+    groups = truncate_lineage(jaccard_join.join_groups(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"), "groups")
+    kept = docs.join(groups.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(one)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark, unchanged."""
+    ship(spark)
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    scanned = decontaminate.scan(fold(docs), benchmark, keep_text=True)
+    return unfold(scanned.where(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most ``CAPACITY`` tokens in their sequences."""
+    ship(spark)
+    return best_fit.pack(docs, CAPACITY).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("line_dedup", drop_boilerplate_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack),
+]
+
+#: A trained classifier and a tokenizer are no SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            target = work_dir(spark, f"stage-{i}-{name}")
+            docs.write.parquet(target)
+            docs = spark.read.schema(docs.schema).parquet(target)
+    return docs

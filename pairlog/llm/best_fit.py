@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import work_dir
-from .common import string_list, texts_of
+from .common import schema_with, string_list, texts_of
 from .tokens import checksum, encoder
 
 
@@ -84,9 +84,8 @@ def write_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None,
     pieces of its length in its part; reread from the shared folder, so ranks are fixed once written."""
     spark = docs.sparkSession
     rows = texts_of(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = (f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local bigint"
-              + ", ids array<int>" * keep_ids)
+    schema = schema_with(rows, "piece int, start bigint, length bigint, ids_crc32 bigint, part int, local bigint"
+                         + ", ids array<int>" * keep_ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(path, name, spaces), TaskContext.get().partitionId()

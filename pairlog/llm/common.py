@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 #: Row groups of written tables with a payload column: bounds what a vectorised reader holds at once.
 PAYLOAD = {"compression": "zstd", "parquet.block.size": str(8 << 20)}
@@ -41,3 +42,20 @@ def per_batch(work: Callable[[pa.RecordBatch], dict[str, pa.Array] | None], name
 def hash_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of an id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % modulus
+
+
+def schema_with(rows: DataFrame, ddl: str) -> StructType:
+    """``rows``' doc_id, whatever its type, followed by the columns of ``ddl``."""
+    return StructType([rows.schema["doc_id"], *StructType.fromDDL(ddl)])
+
+
+def fold(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` as two columns, doc_id (a struct of all columns but the text) and text, so that whole rows
+    pass through an operator whatever their columns are called."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.struct(F.lit(0).alias("_row"), *rest).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def unfold(folded: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The rows of ``fold`` again, in the order of ``columns``."""
+    return folded.select(*[F.col("text").cast("string").alias(c) if c == text_col else F.col("doc_id").getField(c).alias(c) for c in columns])

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary_list, texts_of
+from .common import binary_list, schema_with, texts_of
 from .fm_index import FMIndex
 from .words import WORD_BYTES, HashIndex, chunks, join_bytes, run_hashes, runs, spread
 
@@ -129,12 +129,11 @@ def search(hashes: np.ndarray, first: np.ndarray, blocks: list[Block]) -> Found:
     return Found(covered, pairs)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, cleaned: bool = False, id_col: str = "doc_id",
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, cleaned: bool = False, keep_text: bool = False, id_col: str = "doc_id",
          text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids), spans (words first .. past - 1 and their bytes); with
-    ``cleaned`` also clean_text, the text without its spans."""
+    ``cleaned`` also clean_text, the text without its spans, with ``keep_text`` the text's bytes."""
     rows = texts_of(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
     blocks = benchmark_blocks(benchmark, size, item_col, item_text_col)
     span = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "past", "byte_start", "byte_end")]))
 
@@ -149,7 +148,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, cleaned: bool
                 first = np.searchsorted(a, bounds)
                 origin = np.repeat(bounds[:-1], np.diff(first))
                 held.append((batch["doc_id"][start:end], run_hashes(data, a, b), first,
-                             (a - origin).astype(np.int32), (b - origin).astype(np.int32), texts[start:end] if cleaned else None))
+                             (a - origin).astype(np.int32), (b - origin).astype(np.int32), texts[start:end] if cleaned else None,
+                             batch["text"][start:end] if keep_text else None))
                 size_ += len(a)
                 if size_ >= SHARD_WORDS:
                     yield report(held)
@@ -179,10 +179,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, cleaned: bool
         if cleaned:
             texts = [t for h in held for t in h[5]]
             columns["clean_text"] = pa.array([cut(t, s) for t, s in zip(texts, spans)], pa.string())
+        if keep_text:
+            columns["text"] = pa.concat_arrays([h[6] for h in held])
         return pa.RecordBatch.from_pydict(columns)
 
-    schema = (f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, "
-              "spans array<struct<first:bigint,past:bigint,byte_start:bigint,byte_end:bigint>>" + ", clean_text string" * cleaned)
+    schema = schema_with(rows, "n_words bigint, n_hit bigint, items array<string>, "
+                         "spans array<struct<first:bigint,past:bigint,byte_start:bigint,byte_end:bigint>>"
+                         + ", clean_text string" * cleaned + ", text binary" * keep_text)
     return rows.mapInArrow(work, schema)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import truncate_lineage, work_dir
-from .common import PAYLOAD, binary_list, texts_of
+from .common import PAYLOAD, binary_list, schema_with, texts_of
 from .components import components
 from .words import SOLID_BYTES, HashIndex, chunks, join_bytes, mix, run_hashes, runs
 
@@ -107,7 +107,6 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int = WIDTH, percent: i
     """doc_id, key (of the text), n, sig, and the prefixes a (tokens in the first order), b and c (32-bit tokens under the
     other orders); the prefixes are null where the task has already given them for an equal set."""
     rows = texts_of(docs, id_col, text_col, key=F.xxhash64(F.col(f"`{text_col}`").cast("binary")))
-    kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +139,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int = WIDTH, percent: i
                 "a": pa.array(lists[0], pa.list_(pa.int64())), "b": pa.array(lists[1], pa.list_(pa.int32())),
                 "c": pa.array(lists[2], pa.list_(pa.int32()))})
 
-    return rows.mapInArrow(work, f"doc_id {kind}, key bigint, n bigint, sig bigint, a array<bigint>, b array<int>, c array<int>")
+    return rows.mapInArrow(work, schema_with(rows, "key bigint, n bigint, sig bigint, a array<bigint>, b array<int>, c array<int>"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

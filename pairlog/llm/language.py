@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import work_dir
-from .common import per_batch, string_list, texts_of
+from .common import per_batch, schema_with, string_list, texts_of
 from .words import Growing, HashIndex, RunTable, chunks, mix, powers, run_hashes, runs, spread
 
 STRETCH = 31
@@ -270,7 +270,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = texts_of(docs, id_col, text_col)
     if not model.languages:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages numbers
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -280,4 +279,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         names, best = _SCORERS[key].scores(string_list(batch["text"]))
         return {"doc_id": batch["doc_id"], "lang_pred": pa.array(names, pa.string()), "score": pa.array(best)}
 
-    return rows.mapInArrow(per_batch(work, ["doc_id", "lang_pred", "score"]), f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(per_batch(work, ["doc_id", "lang_pred", "score"]), schema_with(rows, "lang_pred string, score double"))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary_list, per_batch, texts_of
+from .common import binary_list, per_batch, schema_with, texts_of
 from .words import WORD_BYTES, chunks, join_bytes, runs
 
 _SEPARATORS = bytes(0x20 if not WORD_BYTES[i] and not 0x41 <= i <= 0x5A else i for i in range(256))
@@ -235,7 +235,6 @@ _SPAN = "struct<first:bigint,past:bigint,label:string,priority:int,confidence:do
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, and spans: what was detected, in words from 0 (``past`` is behind the last)."""
     rows = texts_of(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64()), ("label", pa.string()), ("priority", pa.int32()),
                                ("confidence", pa.float64()), ("rule", pa.int32()), ("base", pa.bool_())]))
 
@@ -253,7 +252,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return {"doc_id": batch["doc_id"], "n_words": pa.array(np.concatenate(counts).astype(np.int64)), "spans": pa.array(spans, span)}
 
     return rows.mapInArrow(per_batch(work, ["doc_id", "n_words", "spans"]),
-                           f"doc_id {kind}, n_words bigint, spans array<{_SPAN}>")
+                           schema_with(rows, f"n_words bigint, spans array<{_SPAN}>"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

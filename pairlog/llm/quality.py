@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import binary_list, per_batch, texts_of
+from .common import binary_list, per_batch, schema_with, texts_of
 from .labelled import labelled_sample
 
 PIECE = 1024
@@ -110,17 +110,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Colu
     return Model(good, bad, w.tolist(), centre.tolist(), scale.tolist(), None)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score. The model (two dictionaries of bounded size) travels with the plan."""
+def score(docs: DataFrame, model: Model, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score, with ``keep_text`` also the text's bytes. The model (two dictionaries of bounded size) travels with the plan."""
     rows = texts_of(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         found = scores(shared.value, binary_list(batch["text"]))
-        return {"doc_id": batch["doc_id"], "score": pa.array(found)}
+        return {"doc_id": batch["doc_id"], "score": pa.array(found), "text": batch["text"]}
 
-    return rows.mapInArrow(per_batch(work, ["doc_id", "score"]), f"doc_id {kind}, score double")
+    return rows.mapInArrow(per_batch(work, ["doc_id", "score", *["text"] * keep_text]),
+                           schema_with(rows, "score double" + ", text binary" * keep_text))
 
 
 _CODERS: dict[int, _Coder] = {}

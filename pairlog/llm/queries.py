@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import best_fit, decontaminate, jaccard_join, language, licenses, quality, token_files, toxicity
+from . import ann, best_fit, decontaminate, jaccard_join, language, licenses, line_spread, quality, token_files, toxicity
 from .common import hash_remainder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op1(table) -> DataFrame:
     return licenses.digest(licenses.scan(table("documents")))
 
 
+@query("op2_nearest_neighbours")
+def op2(table) -> DataFrame:
+    return ann.search(table("embeddings"), F.col("id") % 20 == 0, 20)
+
+
 @query("op3_decontaminate")
 def op3(table) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table("documents"), table("benchmark")))
@@ -65,6 +70,11 @@ def op6(table) -> DataFrame:
     return verdicts(toxicity.score(docs, model), 0.3)
 
 
+@query("op7_line_spread", line_spread.sql())
+def op7(table) -> DataFrame:
+    return line_spread.remove_boilerplate(table("documents")).select("doc_id", "text", "n_removed")
+
+
 @query("op8_jaccard_join")
 def op8(table) -> DataFrame:
     return jaccard_join.join_groups(table("documents"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import work_dir
-from .common import PAYLOAD, binary_list, per_batch, string_list, texts_of
+from .common import PAYLOAD, per_batch, schema_with, string_list, texts_of
 from .tokens import checksum, encoder
 
 BLOCK_IDS = 4096
@@ -113,8 +113,7 @@ def tokenise(docs: DataFrame, path: str | None = None, name: str = "byte_bpe_50k
                 "ids": pa.array([squeeze.compress(f.tobytes()) for f in found], pa.binary())}
 
     rows = texts_of(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(per_batch(work, ["doc_id", "n_tokens", "ids"]), f"doc_id {kind}, n_tokens bigint, ids binary")
+    return rows.mapInArrow(per_batch(work, ["doc_id", "n_tokens", "ids"]), schema_with(rows, "n_tokens bigint, ids binary"))
 
 
 def write_shards(docs: DataFrame, target: str | None = None, path: str | None = None, name: str = "byte_bpe_50k.json",

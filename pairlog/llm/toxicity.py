@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import per_batch, string_list, texts_of
+from .common import per_batch, schema_with, string_list, texts_of
 from .labelled import labelled_sample
 from .words import WORD_BYTES, Growing, RunTable, chunks, join_bytes, mix, powers, run_hashes, runs
 
@@ -153,7 +153,6 @@ _SCORERS: dict[str, Scorer] = {}  # of a worker, by scoring run
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score; the model is a table of fixed size."""
     rows = texts_of(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
     key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -162,4 +161,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             _SCORERS[key] = Scorer(shared.value)
         return {"doc_id": batch["doc_id"], "score": pa.array(_SCORERS[key].scores(string_list(batch["text"])))}
 
-    return rows.mapInArrow(per_batch(work, ["doc_id", "score"]), f"doc_id {kind}, score double")
+    return rows.mapInArrow(per_batch(work, ["doc_id", "score"]), schema_with(rows, "score double"))
