@@ -20,7 +20,11 @@ def bucketed_row_number(df: DataFrame, bucket: Column, order: Sequence[Column |
     """
     keyed = df.withColumn("_bucket", bucket)
     keys = [*partition, "_bucket"]
-    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # The sizes ask for whole rows, so that both branches read one and the same exchange below and the
+    # source is scanned once; a branch pruned to the keys would be a second scan and shuffle.
+    rest = [F.col(f"`{c}`") for c in keyed.columns if c not in keys]
+    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(F.lit(1), *rest)).alias("_all")) \
+        .where(F.col("_all").isNotNull()).drop("_all")
     before = W.partitionBy(*partition).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = W.partitionBy(*keys).orderBy(*[as_col(c) for c in order])

@@ -383,7 +383,9 @@ def _(t):
 @query("pivot_wide", "SELECT Identifier, id, " + ", ".join(
     f"max(Response) FILTER (TrialNumber = {i}) AS TrialNumber_{i}" for i in range(1, 31)) + " FROM v_log GROUP BY ALL")
 def _(t):
-    return R.pivot_wide(t.log(), ["Identifier", "id"], "TrialNumber", "Response", range(1, 31))
+    log = t.log()
+    trials = sorted(r[0] for r in log.select("TrialNumber").distinct().collect())  # they become columns
+    return R.pivot_wide(log, ["Identifier", "id"], "TrialNumber", "Response", trials)
 
 
 @query("score_pair", """

@@ -87,7 +87,7 @@ def _views() -> dict[str, str]:
                row_number() OVER (PARTITION BY run, TrialNumber
                    ORDER BY (user_id * 7919 + TrialNumber * 104729) % 10007, user_id) - 1 AS pos
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id, TrialNumber ORDER BY ts DESC, event_id DESC) AS rn
-              FROM (SELECT user_id, event_type, event_id, ts, value, CAST(extract(day FROM ts) AS INT) AS TrialNumber,
+              FROM (SELECT user_id, event_type, event_id, ts, value, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) + 1 AS TrialNumber,
                            CAST(user_id % 5 AS INT) AS run FROM events))
         WHERE rn = 1"""
     log = """

@@ -1,5 +1,5 @@
-"""Live operators drained over the whole event table. The twins are batch SQL; windows which
-the watermark has not passed are not out yet, and the twins leave them out as well."""
+"""Live operators drained over the whole event table; the twins are batch SQL over all of it. The log is
+written first only to have a file source with the canonical columns: the operators take any source."""
 
 from __future__ import annotations
 
@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import entropy as E, interactions as I
 from ..session import work_dir
+from ..sources.canonical import trial_of
 from ..streaming import live as L
 from .registry import query, r6
 
-_OPEN = "(SELECT max(ts) - INTERVAL 60 SECOND FROM v_log)"
-
 
 def log_stream(t, paired=False):
     """The canonical log written as files, and read back as a stream."""
@@ -20,19 +19,17 @@ def log_stream(t, paired=False):
         log = I.attach_partner(log)
     folder = work_dir(t.spark, "log")
     log.write.parquet(folder)
-    return L.answer_stream(t.spark, folder, log.schema)
+    return L.with_end(L.answer_stream(t.spark, folder, log.schema))
 
 
 def event_stream(t):
-    schema = t.table("events").schema
-    return L.answer_stream(t.spark, t.root, schema, glob="events.parquet")
+    return L.with_end(L.table_stream(t.spark, f"{t.root}/events.parquet"))
 
 
-@query("stream_pair_score", f"""
+@query("stream_pair_score", """
     SELECT Identifier, TrialNumber, grp, count(*) AS answers,
            CAST(count(*) = 2 AND min(lower(Response)) = max(lower(Response)) AS INT) AS Points
-    FROM v_log GROUP BY Identifier, TrialNumber, grp, date_trunc('day', ts)
-    HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_OPEN}""")
+    FROM v_log GROUP BY Identifier, TrialNumber, grp, date_trunc('day', ts)""")
 def _(t):
     return L.drain(L.stream_pair_score(log_stream(t)), "pair-score")
 
@@ -40,8 +37,7 @@ def _(t):
 @query("stream_entropy", f"""
     SELECT Identifier, w AS window_start, {r6('-sum(p * ln(p)) + 0.0')} AS entropy FROM (
       SELECT *, n / sum(n) OVER (PARTITION BY Identifier, w) AS p FROM (
-        SELECT Identifier, date_trunc('day', ts) AS w, Response, count(*) AS n FROM v_log
-        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_OPEN} GROUP BY ALL)) GROUP BY ALL""")
+        SELECT Identifier, date_trunc('day', ts) AS w, Response, count(*) AS n FROM v_log GROUP BY ALL)) GROUP BY ALL""")
 def _(t):
     counts = L.drain(L.stream_response_counts(log_stream(t)), "entropy")
     e = E.entropy_of_counts(counts, ["Identifier", "window_start"])
@@ -52,13 +48,14 @@ def _(t):
     SELECT Identifier, id, CAST(sum(Points) AS BIGINT) AS score FROM v_paired GROUP BY ALL""")
 def _(t):
     scored = log_stream(t, paired=True)
-    return L.drain_updates(L.stream_running_score(scored), ["Identifier", "id"], "running-score")
+    score = L.drain_updates(L.stream_running_score(scored), ["Identifier", "id"], "running-score")
+    return score.where("id IS NOT NULL")
 
 
-@query("stream_dedup_answers", "SELECT DISTINCT user_id, CAST(extract(day FROM ts) AS INT) AS TrialNumber FROM events")
+@query("stream_dedup_answers", "SELECT DISTINCT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) + 1 AS TrialNumber FROM events")
 def _(t):
-    d = event_stream(t).withColumn("TrialNumber", F.dayofmonth("ts")).select("user_id", "TrialNumber", "ts")
-    return L.drain(L.stream_dedup_answers(d, ["user_id", "TrialNumber"]), "dedup").select("user_id", "TrialNumber")
+    d = event_stream(t).withColumn("TrialNumber", trial_of()).select("user_id", "TrialNumber", "ts")
+    return L.drain(L.stream_dedup_answers(d, ["user_id", "TrialNumber"]), "dedup").where("user_id IS NOT NULL").select("user_id", "TrialNumber")
 
 
 @query("stream_sessions", """
@@ -66,7 +63,7 @@ def _(t):
       SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
         SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR > ts
           THEN 0 ELSE 1 END AS opens FROM events))
-    GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 60 SECOND FROM events)""")
+    GROUP BY user_id, s""")
 def _(t):
     d = L.drain(L.stream_sessions(event_stream(t), gap="6 hours"), "sessions")
     return d.withColumns({c: L.utc_clock(F.col(c)) for c in ("session_start", "session_end")})

@@ -17,6 +17,13 @@ from ..functions.scalar import IMPRESSIONS
 RUNS = 5
 SHUFFLE_MOD = 10007
 _BUCKET_WIDTH = 16
+#: The day of trial 1; later trials count days from here, over any number of months.
+RUN_START = "2024-01-01"
+
+
+def trial_of(ts: str = "ts", start: str = RUN_START):
+    """The trial number of a moment: days since the start of the run, from 1."""
+    return (F.datediff(F.col(ts).cast("date"), F.lit(start).cast("date")) + 1).cast("int")
 
 
 class Tables:
@@ -37,7 +44,7 @@ class Tables:
         """The last event of a user in a day is the answer of that trial. Kept by a
         mergeable aggregate, so a user with very many events is combined map-side."""
         cols = ["ts", "event_id", "event_type", *[c for c in extra if c != "ts"]]
-        last = self.table("events").groupBy("user_id", F.dayofmonth("ts").alias("TrialNumber")).agg(
+        last = self.table("events").groupBy("user_id", trial_of().alias("TrialNumber")).agg(
             F.max(F.struct(*cols)).alias("e"))
         return last.select(
             F.pmod("user_id", F.lit(RUNS)).cast("int").alias("run"),

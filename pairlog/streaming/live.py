@@ -28,24 +28,54 @@ def utc_clock(instant: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
-def answer_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_batch: int = 64) -> DataFrame:
-    """Files of a folder as a stream; event time gets the type that watermarks want."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+def answer_stream(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None, only: str | None = None) -> DataFrame:
+    """Parquet files of a folder (``only``: its files of that name) as a stream; event time gets the type that watermarks want.
+
+    Without ``files_per_batch`` all files that are there make one micro batch, so a replay does not depend
+    on their number or order. A limit suits files that arrive in the order of event time: whatever is later
+    than the watermark allows is dropped, as in any stream."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if only:
+        reader = reader.option("pathGlobFilter", only)
     stream = reader.parquet(folder)
     zoneless = schema["ts"].dataType.typeName() == "timestamp_ntz"
     return stream.withColumn("ts", utc_instant(F.col("ts"))) if zoneless else stream
 
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, a single file or a folder of part files, as a stream; raises if there is none."""
+    table = spark.read.parquet(path)
+    folder, name = os.path.split(path.rstrip("/"))
+    single = [os.path.basename(f) for f in table.inputFiles()] == [name]
+    return answer_stream(spark, folder, table.schema, only=name) if single else answer_stream(spark, path, table.schema)
+
+
+#: Event time of the row that ends a replay: every window of real data closes before it.
+END_OF_REPLAY = "2200-01-01 00:00:00"
+
+
+def with_end(stream: DataFrame) -> DataFrame:
+    """A bounded replay with one more row, all NULL but for a far event time, which moves the watermark
+    past every open window, session and state. Its own window never closes; operators without windows
+    pass it on as a row of NULL keys. Only for sources read in one micro batch."""
+    spark = stream.sparkSession
+    folder = work_dir(spark, "end")
+    columns = [F.lit(END_OF_REPLAY).cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+               for f in stream.schema.fields]
+    spark.range(1).select(*columns).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
 def stream_pair_score(answers: DataFrame, window: str = "1 day", late: str = ANSWER_TIMEOUT) -> DataFrame:
     """Points of a pair in a trial once its window has closed: 1 when both answers are in and
     agree (case aside), 0 when they differ or one is missing. State is four values per pair."""
     name = F.lower("Response")
     scored = (answers.withWatermark("ts", late)
               .groupBy(F.window("ts", window), "Identifier", "TrialNumber", "grp")
-              .agg(F.count(F.lit(1)).alias("answers"), F.min(name).alias("_low"), F.max(name).alias("_high")))
-    hit = (F.col("answers") == 2) & (F.col("_low") == F.col("_high")) & (F.col("_low") != "")
+              .agg(F.count(F.lit(1)).alias("answers"), F.count(name).alias("_given"), F.min(name).alias("_low"), F.max(name).alias("_high")))
+    hit = (F.col("_given") == 2) & (F.col("_low") == F.col("_high")) & (F.col("_low") != "")
     return scored.select("Identifier", "TrialNumber", "grp", "answers",
                          F.coalesce(hit, F.lit(False)).cast("int").alias("Points"))
 
@@ -79,33 +109,59 @@ def stream_sessions(answers: DataFrame, player: str = "user_id", gap: str = ANSW
 
 
 LABEL_SCHEMA = "Identifier string, id bigint, TrialNumber int, DecisionType string"
-LABEL_STATE = "seen array<string>, prev string, partner_prev string"
-
-
-def _label_player(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen, prev, partner_prev = state.get if state.exists else ([], None, None)
-    seen = set(seen)
-    rows = pd.concat(list(batches)).sort_values("TrialNumber")
-    labels = []
-    for answer, partner in zip(rows["Response"], rows["partner_response"]):
-        labels.append("RS" if answer == prev and prev is not None else
-                      "RP" if answer == partner_prev and partner_prev is not None else
-                      "EC" if answer in seen else "BN")
-        partner = None if pd.isna(partner) else partner
-        seen.update(x for x in (answer, partner) if x is not None)
-        prev, partner_prev = answer, partner
-    state.update((sorted(seen), prev, partner_prev))
-    yield pd.DataFrame({"Identifier": key[0], "id": key[1], "TrialNumber": rows["TrialNumber"].to_numpy(),
-                        "DecisionType": labels})
-
-
-def stream_decisions(paired: DataFrame) -> DataFrame:
-    """Label each answer on arrival from the player's own memory. State holds one player's
-    distinct answers (at most two per trial played). Answers without a value are not labelled."""
-    return (paired.where(F.col("Response").isNotNull())
-            .select("Identifier", F.col("id").cast("bigint").alias("id"), "TrialNumber", "Response", "partner_response")
+LABEL_STATE = ("seen array<string>, prev string, partner_prev string, "
+               "trials array<int>, times array<bigint>, answers array<string>, partners array<string>")
+
+
+def _label(answer: str | None, prev: str | None, partner_prev: str | None, seen: set[str]) -> str | None:
+    if answer is None:
+        return None
+    return ("RS" if answer == prev else "RP" if answer == partner_prev else "EC" if answer in seen else "BN")
+
+
+def _label_player(keep_ms: int):
+    """One call per player and micro batch, or when the player's timer runs out. Answers wait in the state
+    until the watermark has passed them, so that they are labelled in the order of trials whatever the
+    order of arrival; ``keep_ms`` after the last one the memory goes."""
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, prev, partner_prev, *waiting = state.get if state.exists else ([], None, None, [], [], [], [])
+        if state.hasTimedOut and not waiting[0]:
+            state.remove()
+            return
+        seen, rows = set(seen), list(zip(*waiting))
+        if not state.hasTimedOut:
+            for new in batches:
+                new = new.astype(object).where(new.notna(), None)
+                rows += zip(new["TrialNumber"], new["ms"], new["Response"], new["partner_response"])
+        rows.sort(key=lambda r: (r[0], r[1]))
+        watermark = state.getCurrentWatermarkMs()
+        labels = []
+        while rows and rows[0][1] < watermark:
+            trial, _, answer, partner = rows.pop(0)
+            label = _label(answer, prev, partner_prev, seen)
+            if label:
+                labels.append((trial, label))
+            seen.update(x for x in (answer, partner) if x is not None)
+            prev, partner_prev = answer, partner
+        state.update((sorted(seen), prev, partner_prev, *([r[i] for r in rows] for i in range(4))))
+        wake = min(r[1] for r in rows) if rows else watermark + keep_ms
+        state.setTimeoutTimestamp(int(max(wake, watermark + 1)))
+        yield pd.DataFrame({"Identifier": key[0], "id": key[1], "TrialNumber": [t for t, _ in labels],
+                            "DecisionType": [x for _, x in labels]})
+    return step
+
+
+def stream_decisions(paired: DataFrame, late: str = ANSWER_TIMEOUT, keep: str = "30 days") -> DataFrame:
+    """Label each answer from the player's own memory once the watermark has passed its trial, so arrival
+    order within ``late`` does not matter. An answer without a value gets no label, but counts as the
+    previous trial and brings the partner's answer in. State holds one player's waiting answers and
+    distinct answers seen; it goes ``keep`` after the player's last answer."""
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    return (paired.withWatermark("ts", late)
+            .select("Identifier", F.col("id").cast("bigint").alias("id"), "TrialNumber", "Response", "partner_response", "ts",
+                    F.unix_millis(F.col("ts")).alias("ms"))
             .groupBy("Identifier", "id")
-            .applyInPandasWithState(_label_player, LABEL_SCHEMA, LABEL_STATE, "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(_label_player(keep_ms), LABEL_SCHEMA, LABEL_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def drain(stream: DataFrame, purpose: str) -> DataFrame:

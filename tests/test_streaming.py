@@ -1,4 +1,4 @@
-"""Stream = batch, over several micro batches."""
+"""Stream = batch: for any number and order of files, and over several micro batches in order."""
 
 import datetime as dt
 import random
@@ -10,62 +10,100 @@ from pairlog.operators import decisions as D, interactions as I
 from pairlog.streaming import live as L
 
 START = dt.datetime(2024, 1, 1)
+BARE = ["Identifier", "Structure", "Content", "id", "TrialNumber", "Response", "grp"]
 
 
 @pytest.fixture(scope="module")
-def folder(spark, tmp_path_factory):
-    """Twelve trials, one file and one micro batch each, minutes apart."""
-    path = tmp_path_factory.mktemp("stream")
+def log(spark):
+    """Fourteen trials of six people, minutes apart; some do not come, some give no answer."""
     rng = random.Random(3)
     rows = []
-    for t in range(1, 13):
+    for t in range(1, 15):
         people = [p for p in range(6) if rng.random() > 0.15]
         rng.shuffle(people)
         for i, p in enumerate(people):
-            rows.append(("r", "Spatial", "Face", p, t, rng.choice(["A", "a", "b"]), i // 2,
+            rows.append(("r", "Spatial", "Face", p, t, rng.choice(["A", "a", "b", None]), i // 2,
                          START + dt.timedelta(minutes=10 * t, seconds=rng.randrange(50))))
     schema = "Identifier string, Structure string, Content string, id int, TrialNumber int, Response string, grp int, ts timestamp"
-    log = I.attach_partner(spark.createDataFrame(rows, schema)).cache()
-    for t in range(1, 13):
-        log.where(F.col("TrialNumber") == t).coalesce(1).write.parquet(str(path / f"t={t:02d}"))
-    return path, log
+    return I.attach_partner(spark.createDataFrame(rows, schema)).cache()
+
+
+@pytest.fixture(scope="module", params=[1, 65, 200])
+def replay(request, spark, log, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stream") / "log")
+    log.repartition(request.param, F.rand(7)).write.parquet(path)
+    return L.with_end(L.table_stream(spark, path))
 
 
-def stream(spark, folder):
-    path, log = folder
+@pytest.fixture(scope="module")
+def ordered(spark, log, tmp_path_factory):
+    """One file and one micro batch for each trial."""
+    path = tmp_path_factory.mktemp("ordered")
+    for t in range(1, 15):
+        log.where(F.col("TrialNumber") == t).coalesce(1).write.parquet(str(path / f"t={t:02d}"))
     return L.answer_stream(spark, str(path / "*"), log.schema, files_per_batch=1)
 
 
-def test_running_score(spark, folder):
-    got = L.drain_updates(L.stream_running_score(stream(spark, folder)), ["Identifier", "id"], "score")
-    want = folder[1].groupBy("id").agg(F.sum("Points").alias("s"))
-    assert {(r.id, r.score) for r in got.collect()} == {(r.id, r.s) for r in want.collect()}
+def rows(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def labels(log):
+    return rows(D.label_decisions(log.select(*BARE)).where("DecisionType IS NOT NULL"), "id", "TrialNumber", "DecisionType")
+
+
+def pair_points(log):
+    pairs = {}
+    for r in log.collect():
+        pairs.setdefault((r.TrialNumber, r.grp), []).append((r.Response or "").lower())
+    return sorted((*k, int(len(v) == 2 and v[0] == v[1] != "")) for k, v in pairs.items())
+
+
+def test_replay_does_not_depend_on_files(spark, log, replay):
+    assert rows(L.drain(L.stream_decisions(replay), "labels"), "id", "TrialNumber", "DecisionType") == labels(log)
+    assert rows(L.drain(L.stream_pair_score(replay, window="1 minute"), "pairs"), "TrialNumber", "grp", "Points") == pair_points(log)
 
 
-def test_pair_score(spark, folder):
-    got = L.drain(L.stream_pair_score(stream(spark, folder), window="1 minute"), "pairs").collect()
-    want = {}
-    for r in folder[1].collect():
-        want.setdefault((r.TrialNumber, r.grp), []).append(r.Response.lower())
-    scored = {(r.TrialNumber, r.grp): r.Points for r in got}
-    assert scored == {k: int(len(v) == 2 and v[0] == v[1]) for k, v in want.items() if k[0] < 12}
+def test_other_replays(spark, log, tmp_path):
+    path = str(tmp_path / "log")
+    log.repartition(90, F.rand(7)).write.parquet(path)
+    replay = L.with_end(L.table_stream(spark, path))
+    counts = L.drain(L.stream_response_counts(replay, "5 minutes"), "counts")
+    assert counts.agg(F.sum("n")).first()[0] == log.count()
+    sliding = L.drain(L.stream_response_counts(replay, "20 minutes", "10 minutes"), "slide")
+    assert sliding.agg(F.sum("n")).first()[0] == 2 * log.count()
+    sessions = L.drain(L.stream_sessions(replay, player="id", gap="5 minutes"), "sessions")
+    assert sessions.count() == log.count()
+    once = L.drain(L.stream_dedup_answers(replay.select("id", "TrialNumber", "ts").withColumn(
+        "copy", F.explode(F.array(F.lit(1), F.lit(2)))), ["id", "TrialNumber"]), "dedup").where("id IS NOT NULL")
+    assert rows(once, "id", "TrialNumber") == rows(log, "id", "TrialNumber")
+    got = L.drain_updates(L.stream_running_score(replay), ["Identifier", "id"], "score").where("id IS NOT NULL")
+    assert rows(got, "id", "score") == rows(log.groupBy("id").agg(F.sum("Points").alias("s")), "id", "s")
 
 
-def test_decisions(spark, folder):
-    got = L.drain(L.stream_decisions(stream(spark, folder)), "labels").collect()
-    want = D.label_decisions(folder[1].select("Identifier", "Structure", "Content", "id", "TrialNumber", "Response", "grp"))
-    assert {(r.id, r.TrialNumber, r.DecisionType) for r in got} == {(r.id, r.TrialNumber, r.DecisionType) for r in want.collect()}
+def test_ordered_batches(spark, log, ordered):
+    """What the watermark has passed comes out batch by batch; the last trial is still open."""
+    past = log.where("TrialNumber < 14")
+    assert rows(L.drain(L.stream_decisions(ordered), "labels"), "id", "TrialNumber", "DecisionType") == [
+        x for x in labels(log) if x[1] < 14]
+    assert rows(L.drain(L.stream_pair_score(ordered, window="1 minute"), "pairs"), "TrialNumber", "grp", "Points") == pair_points(past)
+    got = L.drain_updates(L.stream_running_score(ordered), ["Identifier", "id"], "score")
+    assert rows(got, "id", "score") == rows(log.groupBy("id").agg(F.sum("Points").alias("s")), "id", "s")
 
 
-def test_dedup(spark, folder):
-    twice = stream(spark, folder)
-    got = L.drain(L.stream_dedup_answers(twice.select("id", "TrialNumber", "ts").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))),
-                                         ["id", "TrialNumber"]), "dedup")
-    assert got.count() == folder[1].count()
+def test_state_expires(spark, tmp_path):
+    """A player who comes back after hours is new again if the memory lasts for minutes."""
+    for i, player in enumerate([1, 2, 2, 1, 2]):
+        spark.createDataFrame([("r", player, i, "A", None, START + dt.timedelta(hours=2 * i))],
+                              "Identifier string, id int, TrialNumber int, Response string, partner_response string, ts timestamp") \
+            .coalesce(1).write.parquet(str(tmp_path / f"t={i}"))
+    schema = spark.read.parquet(str(tmp_path / "t=0")).schema
+    for keep, label in (("5 minutes", "BN"), ("30 days", "RS")):
+        stream = L.answer_stream(spark, str(tmp_path / "*"), schema, files_per_batch=1)
+        got = rows(L.drain(L.stream_decisions(stream, keep=keep), "short"), "id", "TrialNumber", "DecisionType")
+        assert [x[2] for x in got if x[0] == 1] == ["BN", label]
 
 
-def test_counts_and_sessions(spark, folder):
-    counts = L.drain(L.stream_response_counts(stream(spark, folder), "5 minutes"), "counts")
-    assert counts.agg(F.sum("n")).first()[0] == folder[1].where("TrialNumber < 12").count()
-    sessions = L.drain(L.stream_sessions(stream(spark, folder), player="id", gap="5 minutes"), "sessions")
-    assert sessions.count() == folder[1].where("TrialNumber < 12").count()
+def test_missing_table(spark, tmp_path):
+    with pytest.raises(Exception):
+        L.table_stream(spark, str(tmp_path / "none.parquet"))
