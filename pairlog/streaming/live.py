@@ -109,7 +109,7 @@ def stream_sessions(answers: DataFrame, player: str = "user_id", gap: str = ANSW
 
 
 LABEL_SCHEMA = "Identifier string, id bigint, TrialNumber int, DecisionType string"
-LABEL_STATE = ("seen array<string>, prev string, partner_prev string, "
+LABEL_STATE = ("seen array<string>, prev string, partner_prev string, last bigint, "
                "trials array<int>, times array<bigint>, answers array<string>, partners array<string>")
 
 
@@ -122,10 +122,11 @@ def _label(answer: str | None, prev: str | None, partner_prev: str | None, seen:
 def _label_player(keep_ms: int):
     """One call per player and micro batch, or when the player's timer runs out. Answers wait in the state
     until the watermark has passed them, so that they are labelled in the order of trials whatever the
-    order of arrival; ``keep_ms`` after the last one the memory goes."""
+    order of arrival; an answer more than ``keep_ms`` after the one before finds no memory, and the state
+    goes by then."""
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, prev, partner_prev, *waiting = state.get if state.exists else ([], None, None, [], [], [], [])
-        if state.hasTimedOut and not waiting[0]:
+        seen, prev, partner_prev, last, *waiting = state.get if state.exists else ([], None, None, None, [], [], [], [])
+        if state.hasTimedOut and not len(waiting[0]):
             state.remove()
             return
         seen, rows = set(seen), list(zip(*waiting))
@@ -137,14 +138,17 @@ def _label_player(keep_ms: int):
         watermark = state.getCurrentWatermarkMs()
         labels = []
         while rows and rows[0][1] < watermark:
-            trial, _, answer, partner = rows.pop(0)
+            trial, ms, answer, partner = rows.pop(0)
+            if last is not None and ms > last + keep_ms:
+                seen, prev, partner_prev = set(), None, None
+            last = ms
             label = _label(answer, prev, partner_prev, seen)
             if label:
                 labels.append((trial, label))
             seen.update(x for x in (answer, partner) if x is not None)
             prev, partner_prev = answer, partner
-        state.update((sorted(seen), prev, partner_prev, *([r[i] for r in rows] for i in range(4))))
-        wake = min(r[1] for r in rows) if rows else watermark + keep_ms
+        state.update((sorted(seen), prev, partner_prev, last, *([r[i] for r in rows] for i in range(4))))
+        wake = min(r[1] for r in rows) if rows else last + keep_ms
         state.setTimeoutTimestamp(int(max(wake, watermark + 1)))
         yield pd.DataFrame({"Identifier": key[0], "id": key[1], "TrialNumber": [t for t, _ in labels],
                             "DecisionType": [x for _, x in labels]})
