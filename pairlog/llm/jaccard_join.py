@@ -2,17 +2,19 @@
 
 A document is its set of word shingles, hashed to 64 bits. If two sets reach the threshold, then under
 any order of all tokens their prefixes (the first n - ceil(t n) + 1 tokens) share a token. Three orders
-are used: candidates share a prefix token under the first, and are verified only if their prefixes also
-meet under the second and the third. In all orders the most common shingles come last, so that what many
+are used: candidates share a prefix token under the first, at places from which the threshold can still be
+reached, and are verified only if their prefixes also meet under the second and the third. In all orders the most common shingles come last, so that what many
 documents share (passages, boilerplate) is no reason for a candidate. Any order gives the same result;
 the table of common shingles, of at most ``COMMON`` entries counted over all documents, only spares work.
 
-Equal sets are one node. First every node is compared with one partner, the node it shares most prefix
-tokens with among the first of its buckets; that binds groups of copies of any size with as many
+Equal sets are one node. First every node is compared with one partner: each bucket (the nodes that share
+a prefix token) offers its most typical node, the one whose tokens lie in the largest buckets, and a node
+takes the offer it shares most tokens with. That binds groups of copies of any size with as many
 comparisons as documents. Then, in buckets that still hold several components, the pairs across
 components that the size and position filters allow are verified, so no link between components is lost.
 
-Texts are read three times (common shingles, prefixes, verification) and shuffled once, compressed.
+Texts are read four times (common shingles, prefixes, two verifications); only those of candidates are
+shuffled, compressed.
 
 Edge cases: null, empty and word-less texts have empty sets and link with nothing; fewer words than a
 shingle make one token; null ids never become a component's id unless nothing else is in it; repeated rows
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import truncate_lineage, work_dir
 from .common import PAYLOAD, binary_list, schema_with, texts_of
@@ -37,6 +39,7 @@ PERCENT = 85
 COMMON = 1 << 18
 COMMON_TIMES = 16
 _SEEN = 200_000
+BROADCAST_ROWS = 500_000
 _ORDERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -177,34 +180,29 @@ def join_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
     table = spark.read.schema(made.schema).parquet(target)
     nodes = table.where(F.col("a").isNotNull())
     entries = nodes.select("sig", "n", F.posexplode("a").alias("pos", "token"))
-    buckets = entries.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("last")).where("hub <> last")
-    shared = truncate_lineage(entries.join(buckets.select("token", "hub"), "token").distinct(), "buckets")
-
-    # one partner for every node, among the first nodes of its buckets
-    partner = shared.where("sig <> hub").groupBy("sig", "hub").agg(F.count(F.lit(1)).alias("k")) \
-        .groupBy("sig").agg(F.max(F.struct("k", F.col("hub"))).alias("best")).select(F.col("sig").alias("x"), F.col("best.hub").alias("y"))
-    some = truncate_lineage(shared.select("sig").distinct(), "nodes")
-    filters = truncate_lineage(nodes.join(some, "sig", "left_semi").groupBy("sig").agg(
-        F.min("n").alias("n"), F.first("b").alias("b"), F.first("c").alias("c")), "filters")
-    texts = truncate_lineage(texts_by_signature(docs, some, table, id_col, text_col), "texts")
-
-    first_links = truncate_lineage(verify(met(partner, filters, percent), texts, width, percent).select("x", "y"), "links")
-    rooted = components(first_links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    rooted = truncate_lineage(rooted, "roots")
+    buckets = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("sig").alias("lo"), F.max("sig").alias("hi")) \
+        .where("lo <> hi").select("token", "k")
+    shared = truncate_lineage(entries.join(buckets, "token").distinct(), "buckets")
+
+    # one partner for every node: of its buckets' most typical nodes the one it shares most tokens with
+    typical = shared.groupBy("sig").agg((F.sum(F.log2("k")) / (F.first("n") * (100 - percent) / 100 + 1)).alias("typical"))
+    hubs = shared.join(typical, "sig").groupBy("token").agg(F.max(F.struct("typical", "sig", "n", "pos")).alias("hub"))
+    near = shared.join(hubs, "token").where(F.col("sig") != F.col("hub.sig")).where(possible("n", "pos", "hub.n", "hub.pos", percent))
+    partner = near.groupBy(F.col("sig").alias("x"), F.col("hub.sig").alias("y")).agg(F.count(F.lit(1)).alias("k"), F.max("hub.typical").alias("t")) \
+        .groupBy("x").agg(F.max(F.struct("k", "t", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    first_links = linked(docs, partner, nodes, table, "first", width, percent, id_col, text_col)
+    rooted = truncate_lineage(components(first_links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+
     member = shared.select("sig", "n", "pos", "token").join(rooted.withColumnRenamed("node", "sig"), "sig", "left") \
         .withColumn("root", F.coalesce("root", "sig"))
-    mixed = member.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("token")
+    mixed = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     open_ = member.join(mixed, "token")
     x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "pos", "root")]) for s in "xy")
-    rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    across = x.join(y, "token").where(
-        (F.col("sig_x") > F.col("sig_y")) & (F.col("root_x") != F.col("root_y"))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & ((100 + percent) * rest >= percent * (F.col("n_x") + F.col("n_y")))) \
+    across = x.join(y, "token").where((F.col("sig_x") > F.col("sig_y")) & (F.col("root_x") != F.col("root_y"))) \
+        .where(possible("n_x", "pos_x", "n_y", "pos_y", percent)) \
         .select(F.col("sig_x").alias("x"), F.col("sig_y").alias("y")).distinct()
-    second_links = verify(met(across, filters, percent), texts, width, percent).select("x", "y")
-    links = truncate_lineage(first_links.union(second_links), "links")
-    rooted = truncate_lineage(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+    second_links = linked(docs, across, nodes, table, "second", width, percent, id_col, text_col)
+    rooted = truncate_lineage(components(first_links.union(second_links).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
     sets = table.groupBy("sig").agg(F.min("doc_id").alias("least")).join(rooted.withColumnRenamed("node", "sig"), "sig", "left") \
         .withColumn("root", F.coalesce("root", "sig"))
@@ -213,12 +211,33 @@ def join_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def met(pairs: DataFrame, filters: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the sizes allow and whose prefixes meet under the second and the third order too."""
-    x, y = (filters.select(*[F.col(c).alias(k) for c, k in zip(("sig", "n", "b", "c"), (s, f"n_{s}", f"b_{s}", f"c_{s}"))]) for s in "xy")
-    return pairs.join(x, "x").join(y, "y").where(
-        (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & F.arrays_overlap("b_x", "b_y") & F.arrays_overlap("c_x", "c_y")).select("x", "y")
+def possible(n_x: str, pos_x: str, n_y: str, pos_y: str, percent: int) -> Column:
+    """Whether two sets can reach the threshold by their sizes, and if the token at these places is the
+    first they share (which is so for one of the tokens that a linked pair meets at)."""
+    a, p, b, q = (F.col(c) for c in (n_x, pos_x, n_y, pos_y))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * F.least(a - p, b - q) >= percent * (a + b))
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of a few numbers per row, to be broadcast if its counted rows are within
+    ``BROADCAST_ROWS`` (about 16 MB); else an ordinary side of a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, table: DataFrame, name: str, width: int, percent: int,
+           id_col: str, text_col: str) -> DataFrame:
+    """The pairs (x, y) that reach the threshold, as a written table: prefixes must meet under the second and
+    the third order, then texts are compared."""
+    pairs = truncate_lineage(pairs, f"{name}-pairs")
+    ends = truncate_lineage(pairs.select(F.explode(F.array("x", "y")).alias("sig")).distinct(), f"{name}-ends")
+    filters = truncate_lineage(nodes.select("sig", "b", "c").join(small(ends), "sig", "left_semi").groupBy("sig").agg(
+        F.first("b").alias("b"), F.first("c").alias("c")), f"{name}-filters")
+    x, y = (filters.select(F.col("sig").alias(s), F.col("b").alias(f"b_{s}"), F.col("c").alias(f"c_{s}")) for s in "xy")
+    met = truncate_lineage(pairs.join(x, "x").join(y, "y").where(F.arrays_overlap("b_x", "b_y") & F.arrays_overlap("c_x", "c_y"))
+                           .select("x", "y"), f"{name}-met")
+    texts = truncate_lineage(texts_by_signature(docs, met.select(F.explode(F.array("x", "y")).alias("sig")).distinct(), table,
+                                                id_col, text_col), f"{name}-texts")
+    return truncate_lineage(verify(met, texts, width, percent).select("x", "y"), f"{name}-links")
 
 
 def texts_by_signature(docs: DataFrame, wanted: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -241,5 +260,5 @@ def texts_by_signature(docs: DataFrame, wanted: DataFrame, table: DataFrame, id_
                     out.append(squeeze.compress(text))
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "z": pa.array(out, pa.binary())})
 
-    one = table.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key"))
-    return rows.mapInArrow(work, "key bigint, z binary").join(one, "key").dropDuplicates(["key", "sig"]).select("sig", "z")
+    one = truncate_lineage(table.select("sig", "key").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key")), "keys")
+    return rows.mapInArrow(work, "key bigint, z binary").join(small(one), "key").dropDuplicates(["key", "sig"]).select("sig", "z")
