@@ -22,7 +22,6 @@ SEGMENT_GROUPS = {
     7: "2nd Order Effects",
     8: "2nd Order Effects",
 }
-GROUP_ORDER = ["Topic", "Causes", "Effect", "1st Order Effects", "2nd Order Effects"]
 MAX_SEGMENTS = 1000
 TAU = 0.2
 
@@ -56,21 +55,23 @@ def cosine_matrix(responses: DataFrame, segments: DataFrame, key: str = "vec_id"
             .select(key, F.posexplode_outer("loading").alias("idx", "similarity")).where(F.col("idx").isNotNull()))
 
 
-def narrative_alignment(responses: DataFrame, segments: DataFrame, tau: float = TAU) -> DataFrame:
-    """Loading, its softmax, and index, label and score of the best segment (first on ties)."""
+def narrative_alignment(responses: DataFrame, segments: DataFrame, tau: float = TAU,
+                        groups: Mapping[int, str] = SEGMENT_GROUPS) -> DataFrame:
+    """Loading, its softmax, and index, label and score of the best segment (first on ties). A narrative
+    that is cut at other borders brings its own ``groups``."""
     d = cosine_loadings(responses, segments)
     return (d.withColumn("loading_normed", softmax_tau("loading", tau))
             .withColumn("segment_index", argmax("loading"))
-            .withColumn("segment_label", map_segment_group("segment_index"))
+            .withColumn("segment_label", map_segment_group("segment_index", groups))
             .withColumn("similarity_score", F.array_max("loading")))
 
 
 def explode_loadings(aligned: DataFrame, skip: Sequence[str] = ("face",),
-                     keys: Sequence[str] = ("Player", "Structure", "Content")) -> DataFrame:
+                     keys: Sequence[str] = ("Player", "Structure", "Content"), groups: Mapping[int, str] = SEGMENT_GROUPS) -> DataFrame:
     """One row per response and segment; conditions in ``skip`` are left out."""
     kept = aligned.where(~F.lower("Content").isin(list(skip)))
     long = kept.select(*keys, F.posexplode_outer("loading_normed").alias("idx", "score"))
-    return long.where(F.col("idx").isNotNull()).withColumn("Group", map_segment_group("idx"))
+    return long.where(F.col("idx").isNotNull()).withColumn("Group", map_segment_group("idx", groups))
 
 
 def mean_loading(long: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import as_col, lookup, make_ssid
-from .ranking import level_arrays, top_k_with_ties
+from ..functions.scalar import as_col, lookup, signed_counts
+from ..session import truncate_lineage
+from .ranking import level_arrays, top_k_with_ties, unfold
 
 AUTHOR = ("Structure", "Content", "Size", "random_id")
 CONDITION = ("Structure", "Content")
@@ -147,10 +149,20 @@ def complete(counts: DataFrame, anchor: Sequence[str], keys: Sequence[str], valu
     """Every combination of the observed ``anchor`` rows and the observed levels of each key,
     absent ones with value 0.
 
-    Keys have few levels (checked, and so is their product); the anchor may be of any size.
-    Only the observed counts are shuffled, by anchor. The zero cells come from one short array
+    Keys mostly have few levels; the anchor may be of any size. Beyond ``max_levels`` levels or
+    ``max_cells`` cells a row the table is unfolded key by key and joined, with the same result. Otherwise
+    only the observed counts are shuffled, by anchor. The zero cells come from one short array
     after the shuffle, and the sum which merges both keeps to the anchor's partitioning.
     """
+    sizes = counts.agg(*[F.count_distinct(k).alias(k) for k in keys]).first()
+    if sum(sizes) > max_levels or math.prod(sizes) > max_cells:
+        cells = counts.select(*anchor).distinct()
+        for k in keys:
+            cells = unfold(cells, counts.where(F.col(k).isNotNull()).select(k).distinct())
+        summed = counts.groupBy(*anchor, *keys).agg(F.sum(value).alias(value))
+        same = [cells[c].eqNullSafe(summed[c]) for c in [*anchor, *keys]]
+        return cells.join(summed, same, "left").select(
+            *[cells[c] for c in [*anchor, *keys]], F.coalesce(summed[value], F.lit(0)).cast("bigint").alias(value))
     levels = level_arrays(counts, keys, max_levels)
     zero = F.lit(0).cast("bigint").alias("_v")
     product = F.lit(1)
@@ -189,30 +201,34 @@ def relation_moments(shifts: DataFrame) -> DataFrame:
     d = F.col("_r.difference")
     sums = rows.groupBy(*CONDITION, F.col("_r.cause_topic").alias("cause_topic"), F.col("_r.effect_topic").alias("effect_topic")).agg(
         F.sum(d).alias("sx"), F.sum(d * d).alias("sxx"), F.sum((F.col("_pos") == 0).cast("bigint")).alias("people"))
-    # one row per condition; the levels are those of all conditions together
-    packed = sums.groupBy(*CONDITION).agg(
-        F.sum("people").alias("n"), F.collect_list(F.struct("cause_topic", "effect_topic", "sx", "sxx")).alias("_seen"))
-    everywhere = W.partitionBy(F.lit(0))
+    sums = truncate_lineage(sums, "relation-sums")  # one row per condition and relation; read several times below
+    people = sums.groupBy(*CONDITION).agg(F.sum("people").alias("n"))
+    return _with_all_relations(people, sums).select(
+        *CONDITION, "cause_topic", "effect_topic", "n", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("sx", "sxx")])
+
+
+def _with_all_relations(conditions: DataFrame, table: DataFrame) -> DataFrame:
+    """``conditions`` with every cause and effect of ``table``, and the table's other columns where it has
+    the relation."""
+    keys = [*CONDITION, "cause_topic", "effect_topic"]
+    cells = conditions
     for key in ("cause_topic", "effect_topic"):
-        packed = packed.withColumn(f"_{key}", F.collect_list(F.col("_seen").getField(key)).over(everywhere))
-    levels = packed.select(*CONDITION, "n", "_seen", *[
-        F.array_compact(F.array_distinct(F.flatten(f"_{key}"))).alias(key) for key in ("cause_topic", "effect_topic")])
-    none = F.lit(0).cast("bigint")
-    cells = levels.select(*CONDITION, "n", F.explode(F.concat(
-        "_seen", _cells(("cause_topic", "effect_topic"), none.alias("sx"), none.alias("sxx")))).alias("_c"))
-    return cells.groupBy(*CONDITION, "n", "_c.cause_topic", "_c.effect_topic").agg(
-        F.sum("_c.sx").alias("sx"), F.sum("_c.sxx").alias("sxx")).select(
-        *CONDITION, "cause_topic", "effect_topic", "n", "sx", "sxx")
+        cells = unfold(cells, table.where(F.col(key).isNotNull()).select(key).distinct())
+    return cells.join(table.drop("people"), keys, "left")
 
 
 def unique_signers(shifts: DataFrame) -> DataFrame:
-    """Distinct participants with a rise and with a fall per relation. Flags are merged per
-    participant first, so that the count needs no distinct over the whole relation."""
+    """Distinct participants with a rise and with a fall per condition and relation, zeros for relations
+    which nobody used in a condition. Flags are merged per participant first, so that the count needs no
+    distinct over the whole relation. Writes its short table once."""
     person = shifts.groupBy(*CONDITION, "cause_topic", "effect_topic", "random_id").agg(
         F.max((F.col("difference") > 0).cast("int")).alias("up"),
         F.max((F.col("difference") < 0).cast("int")).alias("down"))
-    return person.groupBy(*CONDITION, "cause_topic", "effect_topic").agg(
-        F.sum("up").alias("unique_positive_count"), F.sum("down").alias("unique_negative_count"))
+    used = truncate_lineage(person.groupBy(*CONDITION, "cause_topic", "effect_topic").agg(
+        F.sum("up").alias("up"), F.sum("down").alias("down")), "signers")
+    full = _with_all_relations(used.select(*CONDITION).distinct(), used)
+    return full.select(*CONDITION, "cause_topic", "effect_topic", F.coalesce("up", F.lit(0)).alias("unique_positive_count"),
+                       F.coalesce("down", F.lit(0)).alias("unique_negative_count"))
 
 
 def signers_total(signers: DataFrame) -> DataFrame:
@@ -246,7 +262,7 @@ def merge_cause_effect(causes: DataFrame, effects: DataFrame, key: str = "ID") -
 
 def diverging_table(clusters: DataFrame) -> DataFrame:
     """Causes counted below zero, with the topic name."""
-    return clusters.select("ID", (-F.col("cause_counts")).alias("cause_counts"), "effect_counts",
+    return clusters.select("ID", signed_counts("cause_counts", negative=True).alias("cause_counts"), "effect_counts",
                            map_topics("ID", TABLE_TOPICS).alias("topic_label"))
 
 
@@ -255,6 +271,3 @@ def top_entities(claims: DataFrame, cluster: str, entity: str, k: int = 5) -> Da
     counts = claims.groupBy(cluster, entity).agg(F.count(F.lit(1)).alias("frequency"))
     return top_k_with_ties(counts, "frequency", k, partition=[cluster])
 
-
-def identifier(sep_cols: Sequence[str] = AUTHOR) -> Column:
-    return make_ssid(*sep_cols)

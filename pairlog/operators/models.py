@@ -1,7 +1,9 @@
 """Regression models of the study as penalised maximum likelihood.
 
 A normal(0, s) prior on a coefficient is a ridge term with weight 1 / (n s²). The figures
-are modes, not posterior means, and no posterior intervals are claimed.
+are modes, not posterior means, and no posterior intervals are claimed. The library's solvers leave
+intercepts free and set constant columns to zero, so the wide prior on the intercept is left out; the
+categorical fit has its ridge on all four classes, not on the contrasts with the first.
 
 All covariates are discrete (trial, condition, size, decision), so a log of any length has
 only some thousand distinct rows. It is counted down to those in one mergeable aggregate,
@@ -10,12 +12,13 @@ and the iterative fit runs on weighted patterns instead of passing over the log
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import DECISIONS
 from ..session import truncate_lineage
@@ -158,7 +161,19 @@ def hurdle_expected(fit: DataFrame) -> DataFrame:
     return fit.withColumn("expected", F.col("mu") * (1 - F.col("hu")))
 
 
-def hurdle_predict(diffs: DataFrame, fit: DataFrame, seed: int = 420, keys: Sequence[str] = CONDITION) -> DataFrame:
-    """One draw per observation: 0 with probability hu, else normal(mu, sigma)."""
-    draw = F.when(F.rand(seed) < F.col("hu"), F.lit(0.0)).otherwise(F.col("mu") + F.col("sigma") * F.randn(seed + 1))
-    return diffs.join(fit.drop("n"), list(keys)).withColumn("predicted", draw)
+def hash_uniform(*parts) -> Column:
+    """A number in (0, 1) drawn by a hash of its arguments: the same for a row wherever it is computed."""
+    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+
+def hurdle_predict(diffs: DataFrame, fit: DataFrame, seed: int = 420, keys: Sequence[str] = CONDITION,
+                   record: Sequence[str] | None = None) -> DataFrame:
+    """One draw per observation: 0 with probability hu, else normal(mu, sigma). Draws come from a hash of
+    ``record`` (columns that tell rows apart; all of them by default) and the seed, so they do not depend
+    on partitions; the normal deviate is made of two uniform ones."""
+    own = [F.col(c) for c in record or diffs.columns]
+    zero, radius, angle = (hash_uniform(*own, F.lit(seed + i)) for i in range(3))
+    normal = F.sqrt(-2 * F.log(radius)) * F.cos(2 * math.pi * angle)
+    return diffs.withColumn("_draw", F.struct(zero.alias("z"), normal.alias("n"))).join(fit.drop("n"), list(keys)).withColumn(
+        "predicted", F.when(F.col("_draw.z") < F.col("hu"), F.lit(0.0)).otherwise(
+            F.col("mu") + F.col("sigma") * F.col("_draw.n"))).drop("_draw")

@@ -33,6 +33,11 @@ def _rounds(nodes: DataFrame, n: Number, rounds: int, keep: Column | None = None
     return d.withColumn("Trial", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
 
 
+def _need(df: DataFrame, ok: Column, message: str) -> DataFrame:
+    """Stop with a plain message when the number of nodes does not fit the design."""
+    return df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
 def _ordered(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.select("Trial", F.least(a, b).alias("Node1"), F.greatest(a, b).alias("Node2"))
 
@@ -89,7 +94,8 @@ def ring_schedule(nodes: DataFrame, n: Number, rounds: int) -> DataFrame:
     """The four fixed matchings of a ring, in turn: neighbours, next-but-one, neighbours
     shifted by one, next-but-one shifted. n is even."""
     half = F.floor(F.col("n") / 2)
-    d = _rounds(nodes, n, rounds, F.col("node") <= half).withColumn("s", F.col("node") - 1)
+    d = _need(_rounds(nodes, n, rounds, F.col("node") <= half), F.pmod("n", F.lit(2)) == 0, "a ring schedule wants an even number of nodes") \
+        .withColumn("s", F.col("node") - 1)
     s, n_, odd_half = F.col("s"), F.col("n"), F.pmod(F.floor(F.col("n") / 2), F.lit(2)) == 1
     last = s == F.floor(n_ / 2) - 1
     wide = lambda i: 4 * F.floor(i / 2) + 1 + F.pmod(i, F.lit(2))
@@ -109,7 +115,7 @@ def random_matching(nodes: DataFrame, n: Number, rounds: int, seed: int = 0) ->
     """A random perfect matching of the ring lattice (k = 4, n even) per round. The ring is
     cut in fours from a hashed starting point, and each four pairs either as neighbours or
     next-but-one by a hashed coin. Perfect by construction: nothing is resampled."""
-    d = _rounds(nodes, n, rounds)
+    d = _need(_rounds(nodes, n, rounds), F.pmod("n", F.lit(2)) == 0, "a perfect matching wants an even number of nodes")
     start = F.pmod(F.xxhash64(F.lit(seed), F.col("Trial")), F.col("n"))
     seat = F.pmod(F.col("node") - 1 - start, F.col("n"))
     d = d.withColumn("start", start).withColumn("seat", seat)
@@ -194,7 +200,7 @@ def reissue_duplicate_ids(people: DataFrame, record: str, id_col: str = "partici
     keeper is found by a mergeable minimum, so one id may cover any share of the rows."""
     owner = people.groupBy(id_col).agg(F.min(record).alias("_owner"))
     fresh = (F.lit(10000) + F.pmod(F.xxhash64(F.col(record), F.lit(seed)), F.lit(90000))).cast("string")
-    kept = people.join(owner, id_col)
+    kept = people.join(owner, id_col, "left")  # a record without id keeps none
     out = kept.withColumn("_candidate", F.when(F.col(record) != F.col("_owner"), fresh)).drop("_owner")
     # a candidate is free when no participant holds it and no smaller record wants it
     wanted = (out.where(F.col("_candidate").isNotNull())
@@ -217,7 +223,8 @@ def hub_matching(nodes: DataFrame, n: Number, rounds: int, hubs: int, seed: int
     from a slot of its own among the other nodes, never the slot's last one, so that two drawn
     partners are never neighbours; the nodes left over pair up in ring order, which spans at
     most one drawn partner. Needs n >= 4 * hubs."""
-    d = _rounds(nodes, n, rounds)
+    d = _need(_rounds(nodes, n, rounds), (F.pmod("n", F.lit(2)) == 0) & (F.col("n") >= 4 * hubs),
+              f"a hub matching with {hubs} hubs wants an even number of nodes, {4 * hubs} at least")
     width = F.floor((F.col("n") - hubs) / hubs)
     drawn = [F.lit(hubs + 1) + (j * width) + F.pmod(F.xxhash64(F.lit(seed), F.col("Trial"), F.lit(j)), width - 1)
              for j in range(hubs)]

@@ -55,6 +55,19 @@ def sort_desc(df: DataFrame, by: str, tie: str) -> DataFrame:
     return df.orderBy(F.desc(by), F.asc(tie))
 
 
+def unfold(df: DataFrame, levels: DataFrame, width: int = 1000) -> DataFrame:
+    """Every row of ``df`` with every row of ``levels`` (one column of distinct values), for results that
+    are such a table by definition. The levels are packed into arrays of about ``width``, dealt by hash; a
+    row is repeated once for each array, meets it by an equi join, and unfolds it. Counts the levels."""
+    name = levels.columns[0]
+    parts = max(1, -(-levels.count() // width))
+    part = F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
+    packed = levels.groupBy(part.alias("_part")).agg(F.collect_list(F.struct(name)).alias("_levels"))
+    rows = df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.join(packed, "_part").withColumn("_level", F.explode("_levels")) \
+        .select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"_level.{name}").alias(name))
+
+
 def level_arrays(df: DataFrame, cols: Sequence[str], limit: int) -> DataFrame:
     """The observed distinct values of columns of bounded cardinality, as one row with one
     sorted array per column, from one pass. More than ``limit`` values in all raise at run time."""

@@ -55,13 +55,14 @@ def _(t):
 
 
 @query("missing_participants", """
-    SELECT Structure, Content, Size, random_id, Phase, 0::BIGINT AS n FROM v_tweets w
-    WHERE NOT EXISTS (SELECT 1 FROM v_dense_claims c WHERE c.random_id = w.random_id AND c.Phase = w.Phase)""")
+    SELECT Structure, Content, Size, c_custkey AS random_id, Phase, 0::BIGINT AS n FROM v_customers
+    WHERE (c_custkey, Phase) NOT IN (SELECT (o_custkey, CASE WHEN o_orderdate < TIMESTAMP '1998-04-01 00:00:00' THEN 'pre' ELSE 'post' END) FROM orders)""")
 def _(t):
-    # texts of one line carry no claim here, so that some participants are missing
-    claims = t.text_claims()
-    dense = claims.groupBy("text").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
-    return C.missing_participants(t.tweets(), C.claim_counts(claims.join(dense, "text", "left_semi"), t.tweets()))
+    # every customer is asked in both phases; an order stands for a claim
+    asked = t.customers()
+    orders = t.table("orders").select(F.col("o_custkey").alias("random_id"), t.phase().alias("Phase"))
+    made = orders.groupBy("random_id", "Phase").agg(F.count(F.lit(1)).alias("n")).join(asked, ["random_id", "Phase"])
+    return C.missing_participants(asked, made)
 
 
 @query("claim_counts_filled", """
@@ -126,16 +127,15 @@ def _(t):
 
 @query("relation_shifts", """
     SELECT Structure, Content, Size, random_id, cause_topic, effect_topic, CAST(difference AS BIGINT) AS difference
-    FROM v_shifts WHERE (random_id, cause_topic, effect_topic) IN (SELECT (random_id, cause_topic, effect_topic) FROM v_relations)""")
+    FROM v_shifts""")
 def _(t):
-    return shifts(t)
+    return C.relation_shifts(C.complete(C.relation_counts(topics(t)), C.AUTHOR, ["Phase", "cause_topic", "effect_topic"], "count"), "count")
 
 
 @query("unique_signers", """
     SELECT Structure, Content, cause_topic, effect_topic, count(DISTINCT random_id) FILTER (difference > 0) AS unique_positive_count,
            count(DISTINCT random_id) FILTER (difference < 0) AS unique_negative_count
-    FROM v_shifts WHERE (random_id, cause_topic, effect_topic) IN (SELECT (random_id, cause_topic, effect_topic) FROM v_relations)
-    GROUP BY ALL""")
+    FROM v_shifts GROUP BY ALL""")
 def _(t):
     return C.unique_signers(shifts(t))
 
@@ -158,12 +158,12 @@ def _(t):
 
 @query("merge_cause_effect", """
     SELECT coalesce(c.ID, e.ID) AS ID, cause_counts, effect_counts
-    FROM (SELECT cause_cluster AS ID, count(*) AS cause_counts FROM v_claims WHERE Phase = 'pre' GROUP BY 1) c
-    FULL JOIN (SELECT effect_cluster AS ID, count(*) AS effect_counts FROM v_claims WHERE Phase = 'post' GROUP BY 1) e ON c.ID = e.ID""")
+    FROM (SELECT cause_cluster AS ID, count(*) AS cause_counts FROM v_claims GROUP BY 1) c
+    FULL JOIN (SELECT effect_cluster AS ID, count(*) AS effect_counts FROM v_claims GROUP BY 1) e ON c.ID = e.ID""")
 def _(t):
     c = t.claims()
-    cause = c.where(F.col("Phase") == "pre").groupBy(F.col("cause_cluster").alias("ID")).agg(F.count(F.lit(1)).alias("cause_counts"))
-    effect = c.where(F.col("Phase") == "post").groupBy(F.col("effect_cluster").alias("ID")).agg(F.count(F.lit(1)).alias("effect_counts"))
+    cause = c.groupBy(F.col("cause_cluster").alias("ID")).agg(F.count(F.lit(1)).alias("cause_counts"))
+    effect = c.groupBy(F.col("effect_cluster").alias("ID")).agg(F.count(F.lit(1)).alias("effect_counts"))
     return C.merge_cause_effect(cause, effect)
 
 
@@ -271,8 +271,7 @@ def _(t):
 
 _SIGNERS = """
     SELECT Structure, Content, cause_topic, effect_topic, count(DISTINCT random_id) FILTER (difference > 0) AS up,
-           count(DISTINCT random_id) FILTER (difference < 0) AS down FROM v_shifts
-    WHERE (random_id, cause_topic, effect_topic) IN (SELECT (random_id, cause_topic, effect_topic) FROM v_relations) GROUP BY ALL"""
+           count(DISTINCT random_id) FILTER (difference < 0) AS down FROM v_shifts GROUP BY ALL"""
 
 
 @query("binom_test_exact", f"""
@@ -313,4 +312,4 @@ def _(t):
 @query("hurdle_predict")
 def _(t):
     d = differences(t)
-    return M.hurdle_predict(d, M.hurdle_gaussian(d))
+    return M.hurdle_predict(d, M.hurdle_gaussian(d), record=C.AUTHOR)

@@ -129,9 +129,8 @@ def _views() -> dict[str, str]:
                    CAST(floor(value) AS BIGINT) % 7 + 1 AS rating FROM v_log""",
         "v_memory": """
             SELECT *, sum(Points) OVER (PARTITION BY Identifier, id ORDER BY TrialNumber) - Points AS segment FROM v_paired""",
-        "v_dense_claims": """
-            SELECT DISTINCT w.random_id, w.Phase FROM v_tweets w
-            JOIN (SELECT text FROM v_text_claims GROUP BY text HAVING count(*) > 1) ON text = w.Response""",
+        "v_customers": f"""
+            SELECT {condition('c_custkey')}, c_custkey, unnest(['pre', 'post']) AS Phase FROM customer""",
         "v_models": """
             SELECT Model, Identifier, Structure, Content, TrialNumber, -sum(p * log2(p)) / log2(any_value(Size)) + 0.0 AS value
             FROM (SELECT *, n / sum(n) OVER (PARTITION BY Model, Identifier, TrialNumber) AS p FROM (

@@ -101,11 +101,24 @@ class Tables:
             F.when(F.pmod(F.floor(F.col("l_suppkey") / 2), F.lit(2)) == 0, "Face").otherwise("Hashtag").alias("Content"),
             F.when(F.pmod("l_suppkey", F.lit(3)) == 0, 20).otherwise(50).alias("Size"),
             F.col("l_suppkey").alias("random_id"),
-            F.when(F.col("o_orderdate") < F.lit("1998-04-01").cast("timestamp_ntz"), "pre").otherwise("post").alias("Phase"),
+            self.phase().alias("Phase"),
             (F.pmod("p_size", F.lit(21)) - 1).cast("int").alias("cause_cluster"),
             (F.pmod(F.col("l_quantity").cast("int"), F.lit(21)) - 1).cast("int").alias("effect_cluster"),
             F.col("p_name").alias("cause"), F.col("p_brand").alias("effect"))
 
+    @staticmethod
+    def phase():
+        return F.when(F.col("o_orderdate") < F.lit("1998-04-01").cast("timestamp_ntz"), "pre").otherwise("post")
+
+    def customers(self) -> DataFrame:
+        """Every customer as a participant, once for each phase."""
+        key = F.col("c_custkey")
+        return self.table("customer").select(
+            F.when(F.pmod(key, F.lit(2)) == 0, "Homogeneous").otherwise("Spatial").alias("Structure"),
+            F.when(F.pmod(F.floor(key / 2), F.lit(2)) == 0, "Face").otherwise("Hashtag").alias("Content"),
+            F.when(F.pmod(key, F.lit(3)) == 0, 20).otherwise(50).alias("Size"), key.alias("random_id"),
+            F.explode(F.array(F.lit("pre"), F.lit("post"))).alias("Phase"))
+
     def conversation_ends(self) -> DataFrame:
         """First and last user turn of each conversation."""
         turns = self.table("conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import functools
 import re
 from collections.abc import Sequence
 
@@ -21,21 +23,40 @@ def _csv(spark: SparkSession, path, schema: T.StructType, **options) -> DataFram
     return reader.csv(path)
 
 
+def _files_by_header(spark: SparkSession, path) -> list[tuple[list[str], list[str]]]:
+    """The distinct header lines of CSV files, and the files of each. One job: a file's first line is the
+    one with the smallest running id in the block that begins the file."""
+    first = (spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                          F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+             .where("block = 0").groupBy("file").agg(F.min_by("value", "i").alias("header")))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(next(csv.reader([r["header"].lstrip("\ufeff")])), r["files"]) for r in groups]
+
+
+def _by_name(spark: SparkSession, path, schema: T.StructType, more: dict[str, Column] | None = None,
+             alias: dict[str, str] | None = None, **options) -> DataFrame:
+    """CSV files with a header each: columns are matched by name file by file, so files may order them
+    differently or lack some (NULL). ``alias``: other spellings; ``more``: columns from file metadata."""
+    by_name, alias = {f.name: f for f in schema.fields}, alias or {}
+    parts = []
+    for header, files in _files_by_header(spark, path):
+        names = [alias.get(c, c) for c in header]
+        found = T.StructType([by_name.get(c, T.StructField(f"_{i}", T.StringType())) if c not in names[:i] else T.StructField(f"_{i}", T.StringType())
+                              for i, c in enumerate(names)])
+        parts.append(_csv(spark, files, found, **options).select(
+            *[F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields],
+            *[c.alias(n) for n, c in (more or {}).items()]))
+    if not parts:
+        return spark.createDataFrame([], schema).select("*", *[F.lit(None).cast("string").alias(n) for n in more or {}])
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def read_interactions(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
-    """The long log. CSV columns may come in any order and may be a subset: they are
-    matched by header name, and absent ones are NULL. Parquet keeps its own schema."""
+    """The long log. CSV columns may come in any order, another one in each file, and may be a subset: they
+    are matched by header name, and absent ones are NULL. Parquet keeps its own schema."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    header = spark.read.option("header", True).csv(path).columns
-    by_name = {f.name: f for f in schemas.INTERACTIONS.fields}
-    renamed = [c.replace("random ID", "random_id") for c in header]
-    schema = T.StructType([by_name.get(c, T.StructField(c, T.StringType())) for c in renamed])
-    df = _csv(spark, path, schema, enforceSchema=True)
-    missing = [f for f in schemas.INTERACTIONS.fields if f.name not in renamed]
-    return df.select(
-        *[F.col(f"`{c}`") for c in renamed if c in by_name],
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing],
-    ).select(*schemas.INTERACTIONS.names)
+    return _by_name(spark, path, schemas.INTERACTIONS, alias={"random ID": "random_id"})
 
 
 def run_metadata(file_name: Column | str) -> dict[str, Column]:
@@ -47,15 +68,13 @@ def run_metadata(file_name: Column | str) -> dict[str, Column]:
 
 def read_run_files(spark: SparkSession, path) -> DataFrame:
     """Many one-run CSV files as one table; the condition comes from the file name."""
-    df = _csv(spark, path, schemas.RUN_LOG)
-    return df.withColumns(run_metadata(F.col("_metadata.file_name")))
+    return _by_name(spark, path, schemas.RUN_LOG, run_metadata(F.col("_metadata.file_name")))
 
 
 def read_prepost(spark: SparkSession, path) -> DataFrame:
     """The wide pre/post table: quoted commas and line breaks inside fields."""
-    df = _csv(spark, path, schemas.PREPOST, multiLine=True, escape='"', quote='"')
-    return (df.withColumns(run_metadata(F.col("_metadata.file_name")))
-            .withColumn("recorded_at", parse_recorded_date("RecordedDate"))
+    df = _by_name(spark, path, schemas.PREPOST, run_metadata(F.col("_metadata.file_name")), multiLine=True, escape='"', quote='"')
+    return (df.withColumn("recorded_at", parse_recorded_date("RecordedDate"))
             .withColumnRenamed("random ID", "random_id"))
 
 

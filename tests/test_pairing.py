@@ -103,3 +103,17 @@ def test_reissue_with_a_hot_id(spark):
     kept = {r.participant_id: r.rec for r in got if r.new_id == r.participant_id}
     assert kept["777"] == 0 and kept["1"] == 1
     assert all(len(r.new_id) >= 5 for r in got if r.new_id != r.participant_id)
+
+
+@pytest.mark.parametrize("draw,n", [(lambda d, n: P.ring_schedule(d, n, 3), 7), (lambda d, n: P.random_matching(d, n, 3), 7),
+                                    (lambda d, n: P.hub_matching(d, n, 2, 3), 6)])
+def test_sizes_that_do_not_fit_raise(spark, draw, n):
+    nodes = spark.range(1, n + 1).withColumnRenamed("id", "node")
+    with pytest.raises(Exception, match="wants an even number"):
+        draw(nodes, n).collect()
+
+
+def test_records_without_id_stay(spark):
+    people = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "record int, participant_id string")
+    got = {r.record: r.new_id for r in P.reissue_duplicate_ids(people, "record").collect()}
+    assert got[1] == "a" and got[2] is None and got[4] is None and got[3] not in ("a", None)

@@ -97,3 +97,15 @@ def test_sample_schedule(spark):
     got = files.sample_schedule(runs, schedules, seed=3).collect()
     assert len(got) == 50 and len({r.seed for r in got}) > 5
     assert {(r.Identifier, r.seed) for r in got} == {(r.Identifier, r.seed) for r in files.sample_schedule(runs, schedules, seed=3).collect()}
+
+
+def test_every_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Identifier,id,TrialNumber,Response\nf20h1,1,7,emily\n")
+    (tmp_path / "b.csv").write_text("Response,extra,TrialNumber,random ID,id,Identifier\nanna,zz,3,r9,2,f20h1\n")
+    got = {(r.id, r.TrialNumber, r.Response, r.random_id) for r in files.read_interactions(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {(1, 7, "emily", None), (2, 3, "anna", "r9")}
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs" / "f20h1.csv").write_text("id,TrialNumber,ResponseType,Response\n1,4,name,emily\n")
+    (tmp_path / "runs" / "h50s2.csv").write_text("Response,id,ResponseType,TrialNumber\nwaves,2,hashtag,5\n")
+    got = {(r.Identifier, r.id, r.TrialNumber, r.ResponseType, r.Response, r.Size) for r in files.read_run_files(spark, str(tmp_path / "runs")).collect()}
+    assert got == {("f20h1", 1, 4, "name", "emily", 20), ("h50s2", 2, 5, "hashtag", "waves", 50)}
