@@ -10,16 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlog.llm import best_fit, decontaminate, jaccard_join, line_spread, quality
-from pairlog.llm.common import fold, hash_remainder, unfold
+from pairlog.llm.common import fold, hash_remainder, small_batches, unfold
 from pairlog.session import ship, truncate_lineage, work_dir
 
 QUALITY_THRESHOLD = 0.7
 CAPACITY = 2048
 
 
+def prepare(spark: SparkSession) -> None:
+    ship(spark)
+    small_batches(spark)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier scores at least ``QUALITY_THRESHOLD``."""
-    ship(spark)
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     model = quality.fit(docs, labels, usable=hash_remainder("doc_id", 4) != 2)
     return unfold(quality.score(fold(docs), model, keep_text=True).where(F.col("score") >= QUALITY_THRESHOLD), docs.columns)
@@ -37,7 +42,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; of rows that repeat that id,
     one. Documents without words or without id are no one's copies."""
-    ship(spark)
+    prepare(spark)
     groups = truncate_lineage(jaccard_join.join_groups(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"), "groups")
     kept = docs.join(groups.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -49,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark, unchanged."""
-    ship(spark)
+    prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     scanned = decontaminate.scan(fold(docs), benchmark, keep_text=True)
     return unfold(scanned.where(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))), docs.columns)
@@ -57,7 +62,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most ``CAPACITY`` tokens in their sequences."""
-    ship(spark)
+    prepare(spark)
     return best_fit.pack(docs, CAPACITY).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 #: Row groups of written tables with a payload column: bounds what a vectorised reader holds at once.
 PAYLOAD = {"compression": "zstd", "parquet.block.size": str(8 << 20)}
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB instead of 64: texts are long, and a batch exists several times on its way
+    through a Python worker. A setting of the session's own stays."""
+    if spark.conf.get(_BATCH).lower().rstrip("b") in ("67108864", "64m"):
+        spark.conf.set(_BATCH, "8m")
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
     """``doc_id`` and the UTF-8 bytes of ``text``, plus ``more``; other columns are left behind."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"),

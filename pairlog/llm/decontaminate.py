@@ -30,7 +30,7 @@ from .fm_index import FMIndex
 from .words import WORD_BYTES, HashIndex, chunks, join_bytes, run_hashes, runs, spread
 
 SIZE = 13
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 BLOCK_BYTES = 32 << 20
 
 
@@ -142,7 +142,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, cleaned: bool
         size_ = 0
         for batch in batches:
             texts = binary_list(batch["text"])
-            for start, end in chunks(texts, 4 << 20):
+            for start, end in chunks(texts, 2 << 20):
                 data, bounds = join_bytes(texts[start:end])
                 a, b = runs(WORD_BYTES[data])
                 first = np.searchsorted(a, bounds)

@@ -241,7 +241,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts = binary_list(batch["text"])
         counts, spans = [], []
-        for start, end in chunks(texts, 4 << 20):
+        for start, end in chunks(texts, 2 << 20):
             data, bounds = join_bytes(texts[start:end])
             first, _ = runs(WORD_BYTES[data])
             counts.append(np.diff(np.searchsorted(first, bounds)))

@@ -56,15 +56,17 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: i
     bad = boilerplate(found, min_sites)
     here = F.struct("doc", "pos", "row")
     drop = found.join(bad, "h").where(~here.eqNullSafe(F.col("first"))) \
-        .groupBy("row").agg(F.collect_set("pos").alias("_drop")).withColumnRenamed("row", "_row")
-    text = F.col(f"`{text_col}`")
-    keyed = docs.drop("n_removed").withColumn("_row", F.xxhash64(F.col(f"`{id_col}`"), text)).join(drop, "_row", "left") \
-        .withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split(text, "\n")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
-    cleaned = F.array_join(F.transform(F.array_sort(kept), lambda i: F.get("_lines", i)), "\n")
-    return keyed.withColumn(text_col, F.when(F.col("_drop").isNull(), text).otherwise(cleaned)) \
-        .withColumn("n_removed", F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint")) \
-        .select(*[f"`{c}`" for c in docs.columns if c != "n_removed"], "n_removed")
+        .groupBy("row").agg(F.collect_set("pos").alias("drop"))
+    # all but the text travels as one struct, so that columns may have any names
+    text, doc = F.col(f"`{text_col}`"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    keyed = docs.select(doc.alias("doc"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row")).join(drop, "row", "left") \
+        .withColumn("lines", F.when(F.col("drop").isNotNull(), F.split("text", "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    cleaned = F.array_join(F.transform(F.array_sort(kept), lambda i: F.get("lines", i)), "\n")
+    return keyed.select(
+        *[F.when(F.col("drop").isNull(), F.col("text")).otherwise(cleaned).alias(c) if c == text_col
+          else F.col("doc").getField(c).alias(c) for c in docs.columns if c != "n_removed"],
+        F.coalesce(F.size("drop"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def sql(docs: str = "documents", columns: str = "doc_id", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
 from . import ann, best_fit, decontaminate, jaccard_join, language, licenses, line_spread, quality, token_files, toxicity
-from .common import hash_remainder
+from .common import hash_remainder, small_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -18,6 +18,7 @@ def query(name: str, sql: str | None = None):
     def add(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
+            small_batches(spark)
             return build(lambda table: spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
         _QUERIES[name] = run
         if sql:

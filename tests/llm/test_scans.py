@@ -123,10 +123,19 @@ def test_language_sums_all_segmentations(spark):
             return 1.0 if at == arcs.lengths[w] else sum(probability[p, k] * total(e, k) for s, e, p in edges if s == at)
         for k in (0, 1):
             assert np.isclose(alpha[w, arcs.lengths[w], k], total(0, k))
-    counts = language.expected_counts(arcs, np.zeros(len(starts), dtype=np.int64), np.full(len(starts), 2.0), probability)
-    covered = sum(counts[p, 0] * 0 for p in range(1)) + 2 * len(starts)
-    first = sum(alpha[w, 0, 0] for w in range(len(starts)))
-    assert counts[:, 1].sum() == 0 and counts.sum() >= covered and first == len(starts)
+    # expected uses of each piece, against all ways to cut a short word
+    points, starts, ends, _ = language.cut_words(["the"])
+    arcs = language.lattice(points, starts, ends, known)
+    edges = list(zip(arcs.start.tolist(), arcs.end.tolist(), arcs.piece.tolist()))
+
+    def cuts(at):
+        return [[]] if at == arcs.lengths[0] else [[p, *rest] for s, e, p in edges if s == at for rest in cuts(e)]
+    ways = [(np.prod([probability[p, 1] for p in way]), way) for way in cuts(0)]
+    want = np.zeros_like(probability)
+    for weight, way in ways:
+        for p in way:
+            want[p, 1] += 2 * weight / sum(w for w, _ in ways)
+    assert len(ways) > 3 and np.allclose(language.expected_counts(arcs, np.array([1]), np.array([2.0]), probability), want)
 
 
 def test_language(spark):
@@ -194,6 +203,10 @@ def test_line_spread(spark):
     for i, t in enumerate(texts):
         want = t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)
         assert got[i] == (want, sum(1 for d, _ in gone if d == i))
+    odd = docs.withColumns({"row": F.lit(1), "drop": F.lit("x"), "lines": F.lit(2.0), "n_removed": F.lit("old"), "h": F.lit(None)})
+    again = line_spread.remove_boilerplate(odd, min_sites=4)
+    assert {r.doc_id: (r.text, r.n_removed) for r in again.collect()} == got and again.where("row = 1 AND drop = 'x' AND lines = 2").count() == len(texts)
+    assert line_spread.remove_boilerplate(docs.limit(0)).count() == 0
 
 
 # -- neighbours -------------------------------------------------------------------------
