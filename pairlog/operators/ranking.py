@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -20,6 +21,8 @@ def bucketed_row_number(df: DataFrame, bucket: Column, order: Sequence[Column |
     """
     keyed = df.withColumn("_bucket", bucket)
     keys = [*partition, "_bucket"]
+    # what the join below would ask of one side is asked of both, so that they stay equal
+    keyed = keyed.where(functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     # The sizes ask for whole rows, so that both branches read one and the same exchange below and the
     # source is scanned once; a branch pruned to the keys would be a second scan and shuffle.
     rest = [F.col(f"`{c}`") for c in keyed.columns if c not in keys]

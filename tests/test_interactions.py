@@ -1,3 +1,6 @@
+import datetime as dt
+import os
+
 import math
 import random
 from collections import Counter, defaultdict
@@ -162,3 +165,25 @@ def test_edges(spark):
     m = spark.createDataFrame([(0, [0, 1, 1]), (1, [1, 0, 0])], "node int, row array<int>")
     assert {tuple(r) for r in R.adjacency_to_edges(m).collect()} == {(0, 1), (0, 2), (1, 0)}
     assert {r.u: r.neighbours for r in R.neighbour_lists(R.adjacency_to_edges(m)).collect()} == {0: [1, 2], 1: [0]}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are absent")
+def test_paired_log_scans_events_once(spark):
+    """Bucket sizes and rows of the paired view come from one exchange."""
+    from pairlog.sources.canonical import Tables
+    paired = I.attach_partner(Tables(spark, "/root/testdata/sf0.001").interactions())
+    paired.collect()
+    plan = paired._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+
+
+def test_sixty_days_lose_nothing(spark, tmp_path):
+    """Trials count on over months: every user's last answer of every day is there."""
+    from pairlog.sources.canonical import Tables
+    start = dt.datetime(2024, 1, 1, 12)
+    rows = [(u * 100 + d, start + dt.timedelta(days=d, minutes=u), u, "a", 1.0) for u in range(6) for d in range(60)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    log = Tables(spark, str(tmp_path)).interactions()
+    assert log.count() == 360 and {r[0] for r in log.select("TrialNumber").distinct().collect()} == set(range(1, 61))
