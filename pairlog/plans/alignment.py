@@ -85,7 +85,8 @@ def _(t):
     return A.alignment_welch(players(t))
 
 
-@query("embed_text")
+@query("embed_text", """
+    SELECT conv_id, turn, 256::INT AS dims, 1.0::DOUBLE AS squared_length FROM conversations""")
 def _(t):
     d = A.embed_text(t.table("conversations"), "text")
     return d.select("conv_id", "turn", F.size("embedding").alias("dims"),

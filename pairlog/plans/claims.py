@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import significance_stars
+from ..functions.special import student_t_p
 from ..operators import claims as C, hypothesis as H, models as M, reshape as R
 from .registry import query, r6, t_tail
 
@@ -228,6 +229,17 @@ def _(t):
     return H.t_test_ci(moments(t))
 
 
+@query("t_test_ci_tails", f"""
+    SELECT Structure, Content, cause_topic, effect_topic, 0.05::DOUBLE AS low_tail, 0.05::DOUBLE AS high_tail
+    FROM ({_T2P}) WHERE p IS NOT NULL AND m <> 0""")
+def _(t):
+    """A test of the mean against either bound of its interval has p = 0.05."""
+    d = H.t_test_ci(moments(t)).where(F.col("p_value").isNotNull() & (F.col("estimate") != 0))
+    error = F.col("estimate") / F.col("statistic")
+    return d.select(*REL, student_t_p((F.col("estimate") - F.col("conf_low")) / error, "parameter").alias("low_tail"),
+                    student_t_p((F.col("conf_high") - F.col("estimate")) / error, "parameter").alias("high_tail"))
+
+
 @query("t_test_ci_width", f"""
     SELECT Structure, Content, cause_topic, effect_topic,
            (p < 0.05) AS excludes_zero FROM ({_T2P}) WHERE p IS NOT NULL""")

@@ -34,6 +34,16 @@ def _(t):
         F.count(F.lit(1)).alias("n"))
 
 
+@query("split_ties_merged", """
+    SELECT Identifier, id, TrialNumber, CASE WHEN Response = prev_response AND Response = partner_prev_response THEN 'RS or RP'
+      ELSE DecisionType END AS label FROM v_dec""")
+def _(t):
+    """A coin decides ties between RS and RP; all other labels stay, and no other label enters a tie."""
+    d = D.label_decisions(t.interactions(), tie="split")
+    either = F.col("rs_rp_tie") & F.col("DecisionType").isin("RS", "RP")
+    return d.select(I.RUN, I.PERSON, I.TRIAL, F.when(either, "RS or RP").otherwise(F.col("DecisionType")).alias("label"))
+
+
 @query("earlier_context", """
     SELECT Identifier, id, TrialNumber, seen_before,
            (SELECT min(b.TrialNumber) FROM v_paired b WHERE b.Identifier = a.Identifier AND b.id = a.id

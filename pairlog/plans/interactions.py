@@ -292,6 +292,15 @@ def _(t):
     return I.n_unique(t.log(), "id", ["Structure", "Content"], approximate=True)
 
 
+@query("n_unique_approximate_bounds", "SELECT DISTINCT Structure, Content, true AS within_a_fifth FROM v_log")
+def _(t):
+    """The sketch's standard error is 5 %; four of them around the exact count."""
+    log, by = t.log(), ["Structure", "Content"]
+    exact = I.n_unique(log, "id", by).withColumnRenamed("n_unique", "exact")
+    both = I.n_unique(log, "id", by, approximate=True).join(exact, by)
+    return both.select(*by, (F.abs(F.col("n_unique") - F.col("exact")) <= 0.2 * F.col("exact")).alias("within_a_fifth"))
+
+
 @query("linear_trend", f"""
     SELECT Identifier, {r6('regr_slope(entropy, TrialNumber)')} AS slope, {r6('regr_intercept(entropy, TrialNumber)')} AS intercept
     FROM v_entropy2 GROUP BY ALL""")
