@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import fill_text, lookup
 from ..functions.vectors import argmax, cosine, let, norm, softmax_tau
+from ..session import truncate_lineage
 from .hypothesis import sem, welch_t_test
 
 # Narrative component of each of the nine segments.
@@ -40,14 +41,33 @@ def map_segment_group(idx: Column | str, groups: Mapping[int, str] = SEGMENT_GRO
     return lookup(idx, groups)
 
 
-def cosine_loadings(responses: DataFrame, segments: DataFrame, vector: str = "embedding") -> DataFrame:
+def cosine_loadings(responses: DataFrame, segments: DataFrame, vector: str = "embedding", limit: int = MAX_SEGMENTS) -> DataFrame:
     """Add ``loading``: cosine of each response with every segment, in segment order. One
-    narrow pass over the responses: no join, no shuffle."""
+    narrow pass over the responses: no join, no shuffle. More than ``limit`` segments (they are counted
+    first) go in arrays of ``limit`` that the responses meet by a join; the result is the same."""
     v = F.col(vector)
+    if segments.limit(limit + 1).count() > limit:
+        return _loadings_by_parts(responses, segments, vector, limit)
     loading = let(norm(v), lambda length: F.transform("_segments", lambda s: cosine(v, s["e"], length, s["n"])))
     return responses.withColumn("_segments", segment_array(segments)).withColumn("loading", loading).drop("_segments")
 
 
+def _loadings_by_parts(responses: DataFrame, segments: DataFrame, vector: str, limit: int) -> DataFrame:
+    number = F.row_number().over(W.orderBy("idx")) - 1  # over the narrative alone
+    packed = segments.select("idx", F.transform("embedding", lambda x: x.cast("double")).alias("e")) \
+        .withColumn("_part", F.floor(number / limit).cast("int")).withColumn("n", norm(F.col("e"))) \
+        .groupBy("_part").agg(F.sort_array(F.collect_list(F.struct("idx", "e", "n"))).alias("_segments"))
+    packed = truncate_lineage(packed, "segments")
+    parts = packed.count()
+    kept = truncate_lineage(responses.withColumn("_id", F.monotonically_increasing_id()), "responses")
+    v = F.col(vector)
+    loading = let(norm(v), lambda length: F.transform("_segments", lambda s: cosine(v, s["e"], length, s["n"])))
+    found = kept.select("_id", v, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")).join(packed, "_part") \
+        .select("_id", F.struct("_part", loading.alias("l")).alias("p")).groupBy("_id").agg(
+            F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["l"])).alias("loading"))
+    return kept.join(found, "_id").drop("_id")
+
+
 def cosine_matrix(responses: DataFrame, segments: DataFrame, key: str = "vec_id") -> DataFrame:
     """Long similarity matrix (response, idx, similarity)."""
     # the outer generator spares the size check which would work the loading out twice

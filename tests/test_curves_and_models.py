@@ -94,3 +94,16 @@ def test_embed_text(spark):
         return s.map(lambda x: [float(len(x))])
 
     assert [list(r.embedding) for r in A.embed_text(d, "t", embedder=lengths).collect()] == [[15.0], [5.0], [0.0]]
+
+
+def test_many_segments_by_parts(spark):
+    """Two thousand segments: beyond one array, with the same loadings."""
+    import numpy as np
+    from pairlog.operators import alignment as A
+    rng = np.random.default_rng(4)
+    segments, responses = rng.normal(size=(2000, 8)), rng.normal(size=(7, 8))
+    s = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(segments)], "idx int, embedding array<double>")
+    r = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(responses)], "vec_id int, embedding array<double>")
+    got = {x.vec_id: x.loading for x in A.cosine_loadings(r, s).collect()}
+    want = responses @ segments.T / np.linalg.norm(responses, axis=1)[:, None] / np.linalg.norm(segments, axis=1)
+    assert all(np.allclose(got[i], want[i]) for i in range(7))
