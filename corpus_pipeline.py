@@ -44,7 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     one. Documents without words or without id are no one's copies."""
     prepare(spark)
     groups = truncate_lineage(jaccard_join.join_groups(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"), "groups")
-    kept = docs.join(groups.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    copies = truncate_lineage(groups.where("component_id < doc_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(jaccard_join.small(copies), "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
