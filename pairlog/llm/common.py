@@ -16,10 +16,10 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB instead of 64: texts are long, and a batch exists several times on its way
+    """Arrow batches of 4 MB instead of 64: texts are long, and a batch exists several times on its way
     through a Python worker. A setting of the session's own stays."""
     if spark.conf.get(_BATCH).lower().rstrip("b") in ("67108864", "64m"):
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, "4m")
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:

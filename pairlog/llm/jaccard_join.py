@@ -93,7 +93,7 @@ def common_shingles(docs: DataFrame, width: int = WIDTH, text_col: str = "text",
                 sets = shingle_sets(texts[a:b], width)
                 held += sets
                 size += sum(map(len, sets))
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield report()
                     held, size = [], 0
         if held:

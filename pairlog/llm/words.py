@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _POWERS = np.ones(1, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
