@@ -14,6 +14,8 @@ from pairlog.llm.common import fold, hash_remainder, small_batches, unfold
 from pairlog.session import ship, truncate_lineage, work_dir
 
 QUALITY_THRESHOLD = 0.7
+COPY_WIDTH = 5  # words of a shingle, and the Jaccard similarity in percent from which documents are near copies
+COPY_PERCENT = 80
 CAPACITY = 2048
 
 
@@ -40,10 +42,10 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of rows that repeat that id,
+    """Of each group of documents linked over five-word shingles at 0.8 the one with the smallest id stays; of rows that repeat that id,
     one. Documents without words or without id are no one's copies."""
     prepare(spark)
-    groups = truncate_lineage(jaccard_join.join_groups(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"), "groups")
+    groups = truncate_lineage(jaccard_join.join_groups(docs, width=COPY_WIDTH, percent=COPY_PERCENT).where("n_shingles > 0 AND doc_id IS NOT NULL"), "groups")
     copies = truncate_lineage(groups.where("component_id < doc_id").select("doc_id").distinct(), "copies")
     kept = docs.join(jaccard_join.small(copies), "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -1,6 +1,7 @@
 """The stages on the smallest table, each against what its operator says about its own input."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +64,37 @@ def test_repeated_rows_and_odd_columns(spark):
 
 def ids_or_zero(df):
     return sorted(r[0] or 0 for r in df.select("doc_id").collect())
+
+
+def test_near_copies_are_five_words_at_four_fifths(spark):
+    """Against brute force; scattered single-word edits that link over five words at 0.80 but not over four at 0.85."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(300)]
+    texts = []
+    for g in range(6):
+        own = [f"g{g}" + w for w in base]
+        texts.append(" ".join(own))
+        for edits in (4, 6, 7, 8, 10):
+            copy = list(own)
+            for k in range(edits):
+                copy[20 + 30 * k] = f"edit{g}x{edits}x{k}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join([*own[:130], *[f"other{g}x{k}" for k in range(25)], *own[155:]]))  # one changed block
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i in range(len(texts))})
+    default = {r.component_id for r in jaccard_join.join_groups(docs).collect()}
+    assert set(want) < default
+    assert ids(dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF)) == want
