@@ -287,3 +287,24 @@ def test_jaccard_groups(spark):
     assert jaccard_join.join_groups(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (None, "z")], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.join_groups(twice).collect()) == [(0, 0), (0, 7), (7, 7), (7, 7)]
+
+
+# -- samples ----------------------------------------------------------------------------
+@pytest.mark.parametrize("length", [30_000, 19_000])
+def test_a_long_text_does_not_empty_the_sample(spark, length):
+    """One text longer than all bytes of its label, or nearly so long, comes up first; the others are drawn all the same."""
+    from pairlog.llm import labelled as module
+
+    docs, labels, n = labelled(spark)
+    ids = [r[0] for r in labels.where("quality = 1 AND doc_id < 240").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    long = ("Ünlike word " * 4000).encode()[:length - 1].decode("utf-8", "ignore")
+    long += "x" * (length - len(long.encode()))
+    texts = docs.withColumn("text", F.when(F.col("doc_id") == ids[0], long).otherwise(F.col("text")))
+    sample = module.labelled_sample(texts, labels, "quality", F.lit(True), 3000, 20_000)
+    lengths = [len(t) for t, y in zip(sample.texts, sample.labels) if y]
+    assert max(lengths) <= 20_000 // module.SHARE and sum(lengths) <= 20_000
+    assert len(lengths) > 50 and lengths[0] > 1000 and sample.texts[sample.labels.index(1)].count(b"\n") == module.PIECES - 1
+    kept = module.labelled_sample(docs, labels, "quality", F.lit(True), 3000, 100_000)
+    assert {t.decode() for t in kept.texts} == {r.text for r in docs.where(f"doc_id < {n}").collect()}
+    for fit, score, label, size in ((quality.fit, quality.score, "quality", 20_000), (toxicity.fit, toxicity.score, "toxic", 20_000)):
+        assert fit(texts, labels, label, size=size).constant is None
