@@ -32,7 +32,9 @@ _V = r"(?: version)?(?: v)?"
 _GNU = r"(?:gnu )?"
 #: label, keyword, the licence's name as people write it (a pattern over words)
 NAMES = [
-    ("mit", "mit", r"(?:mit|expat|x11)(?: style)?"),
+    ("mit", "mit", r"mit(?: style)?"),
+    ("mit", "expat", r"expat(?: style)?"),
+    ("mit", "x11", r"x11(?: style)?"),
     ("mit-0", "mit", r"mit (?:no attribution|0)"),
     ("apache-2", "apache", rf"apache(?: software)?(?: license)?{_V} 2(?: 0)?"),
     ("apache-1.1", "apache", rf"apache(?: software)?(?: license)?{_V} 1 1"),
@@ -121,7 +123,8 @@ PASSAGES = [
     ("bsd-4", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
     ("apache-2", "apache org licenses", r"(?:https? )?(?:www )?apache org licenses license 2 0"),
     ("apache-2", "compliance with the license", r"you may not use this file except in compliance with the license"),
-    ("gpl", "free software foundation", r"(?:redistribute it and or modify it|published by the free software foundation)"),
+    ("gpl", "redistribute it", r"redistribute it and or modify it"),
+    ("gpl", "free software foundation", r"published by the free software foundation"),
     ("gpl", "gnu org licenses", r"gnu org licenses gpl"),
     ("mpl-2", "source code form", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("zlib", "altered source versions", r"altered source versions must be plainly marked as such"),
@@ -178,11 +181,11 @@ def rules() -> tuple[Rule, ...]:
     return tuple(out)
 
 
-#: One of these is part of every rule's keyword, pattern or both: texts without any are done.
+#: One of these is part of whatever a rule matches: texts without any are done.
 _GATE = [b"licen", b"gpl", b"spdx", b"permission", b"redistribution", b"endorse", b"advertising", b"compliance", b"foundation",
          b"source", b"domain", b"public", b"rights", b"proprietary", b"commercial", b"commons", b"wtfpl", b"openrail",
          b"gnu", b"boost", b"unencumbered", b"mozilla", b"released", b"distributed", b"available", b"provided", b"published",
-         b"covered", b"offered"]
+         b"covered", b"offered", b"apache", b"redistribute"]
 _CC = re.compile(rb"(?<![0-9a-z\x80-\xff])cc(?:0|[^0-9a-z\x80-\xff]+by)(?![0-9a-z\x80-\xff])")
 
 

@@ -289,6 +289,44 @@ def test_jaccard_groups(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.join_groups(twice).collect()) == [(0, 0), (0, 7), (7, 7), (7, 7)]
 
 
+def spelled(pattern: bytes, most: bool) -> set[bytes]:
+    """What a rule matches: every alternative, with all optional parts or with none."""
+    from re import _constants as c, _parser
+
+    def product(parts):
+        out = {b""}
+        for part in parts:
+            out = {a + b for a in out for b in part}
+        return out
+
+    def ways(node):
+        op, arg = node
+        if op is c.LITERAL:
+            return {bytes([arg])}
+        if op is c.ANY:
+            return {b"x"}
+        if op is c.IN:
+            return {bytes([a]) if o is c.LITERAL else bytes([a[0]]) for o, a in arg}
+        if op is c.BRANCH:
+            return set().union(*(product(map(ways, branch)) for branch in arg[1]))
+        if op is c.SUBPATTERN:
+            return product(map(ways, arg[3]))
+        low, high, inner = arg
+        return product([product(map(ways, inner))] * (min(high, 1) if most and not low else low))
+
+    return product(map(ways, _parser.parse(pattern)))
+
+
+def test_gates_pass_whatever_a_rule_matches():
+    for i, rule in enumerate(licenses.rules()):
+        for most in (False, True):
+            for text in spelled(rule.pattern, most):
+                assert licenses._compiled(i).search(b" " + text + b" ")
+                assert licenses.gated(text) and rule.keyword in b" " + text + b" ", (rule, text)
+    for text, label in ((b"built with apache 2.0", "apache-2"), (b"the expat license", "mit"), (b"you may redistribute it and/or modify it.", "gpl")):
+        assert label in {d.label for d in licenses.scan_text(text)}
+
+
 # -- samples ----------------------------------------------------------------------------
 @pytest.mark.parametrize("length", [30_000, 19_000])
 def test_a_long_text_does_not_empty_the_sample(spark, length):
