@@ -42,17 +42,29 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked over five-word shingles at 0.8 the one with the smallest id stays; of rows that repeat that id,
-    one. Documents without words or without id are no one's copies."""
+    """Of each group of documents linked over five-word shingles at 0.8 the one with the smallest id stays; of
+    rows that repeat its id and text, one. A row is known by id and text, so an id that stands for several
+    unlike texts keeps them all. Documents without words or without id are no one's copies."""
     prepare(spark)
-    groups = truncate_lineage(jaccard_join.join_groups(docs, width=COPY_WIDTH, percent=COPY_PERCENT).where("n_shingles > 0 AND doc_id IS NOT NULL"), "groups")
-    copies = truncate_lineage(groups.where("component_id < doc_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(jaccard_join.small(copies), "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    text_hash = F.xxhash64(F.col("text").cast("binary"))
+    named = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", text_hash.alias("h"))).alias("doc_id"), "text")
+    groups = truncate_lineage(jaccard_join.join_groups(named, width=COPY_WIDTH, percent=COPY_PERCENT)
+                              .where("n_shingles > 0 AND doc_id IS NOT NULL"), "groups")
+
+    def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        return rows.join(keys, (rows["doc_id"] == keys["_id"]) & (F.xxhash64(rows["text"].cast("binary")) == keys["_h"]), "left_anti")
+
+    copies = truncate_lineage(groups.where("component_id < doc_id").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h"))
+                              .distinct(), "copies")
+    kept = without(docs, jaccard_join.small(copies)).select(*docs.columns)
+    repeated = truncate_lineage(groups.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1")
+                                .select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h")), "repeated")
     if repeated.isEmpty():
         return kept
-    one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(one)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(repeated, (F.col("doc_id") == F.col("_id")) & (text_hash == F.col("_h"))).groupBy("_id", "_h") \
+        .agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return without(kept, repeated).select(*docs.columns).union(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,3 +98,13 @@ def test_near_copies_are_five_words_at_four_fifths(spark):
     default = {r.component_id for r in jaccard_join.join_groups(docs).collect()}
     assert set(want) < default
     assert ids(dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF)) == want
+
+
+def test_an_id_with_several_texts_keeps_them(spark):
+    """Rows go only where their own text is a copy, not because another text has their id."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+    rows = [(1, a), (1, b), (1, b), (1, None), (2, a), (2, c), (3, c), (3, c)]
+    docs = spark.createDataFrame([(i, t, f"s{k}") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, source string")
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(1, a), (1, b), (1, ""), (2, c)])
+    assert [r.source for r in got if r.text == b] == ["s1"]
