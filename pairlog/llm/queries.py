@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import ann, best_fit, decontaminate, jaccard_join, language, licenses, line_spread, quality, token_files, toxicity
+from . import ann, best_fit, chat, collocations, decontaminate, fim, jaccard_join, language, licenses, line_spread, quality, token_files, toxicity
 from .common import hash_remainder, small_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,21 @@ def verdicts(scored: DataFrame, threshold: float) -> DataFrame:
 def op10(table) -> DataFrame:
     return best_fit.pack(table("documents"), 2048).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op11_fill_in_middle", fim.sql())
+def op11(table) -> DataFrame:
+    return fim.digest(fim.rearrange(table("documents")))
+
+
+@query("op12_chat_format", chat.sql())
+def op12(table) -> DataFrame:
+    rows = chat.records(table("conversations"), "conv_id", ["turn", "role", "text"])
+    said = json.dumps({"messages": [{"role": role, "content": chat.PROBE_TEXT} for role in ("user", "assistant")]})
+    probe = rows.sparkSession.range(1).select(F.lit(chat.PROBE_ID).cast("bigint").alias("id"), F.parse_json(F.lit(said)).alias("record"))
+    return chat.digest(chat.read(chat.form(chat.convert(rows.unionByName(probe)))))
+
+
+@query("op13_collocations", collocations.sql())
+def op13(table) -> DataFrame:
+    return collocations.mine(table("documents"))
