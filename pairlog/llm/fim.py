@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import binary_list, per_batch, schema_with
+from .words import chunks
 
 #: A unit, over the bytes of valid UTF-8: letters, one other ASCII byte, or one longer code point.
 UNIT = rb"[A-Za-z]+|[\x00-\x40\x5B-\x60\x7B-\x7F]|[\xC0-\xFF][\x80-\xBF]*"
@@ -73,11 +74,8 @@ def cut(texts: list[bytes], first: np.ndarray, second: np.ndarray) -> tuple[np.n
     low, high = np.minimum(first % (n + 1), second % (n + 1)), np.maximum(first % (n + 1), second % (n + 1))
     before = np.cumsum(counts) - counts  # units of earlier segments, of all texts
     before -= np.concatenate([[0], np.cumsum(n)])[parent]
-    sizes = np.cumsum([len(p) for p in parts])
-    bounds = np.unique(np.concatenate([[0], np.searchsorted(sizes, np.arange(LIMIT, sizes[-1] + LIMIT, LIMIT), side="left") + 1])) \
-        if len(parts) else np.zeros(1, dtype=np.int64)
     pieces: list[list[pa.Array]] = [[], [], []]
-    for a, b in zip(bounds[:-1].tolist(), np.minimum(bounds[1:], len(parts)).tolist()):
+    for a, b in chunks(parts, LIMIT):
         lists = pc.split_pattern(pc.replace_substring_regex(held.slice(a, b - a), pattern=UNIT, replacement=b"\\0" + _END), pattern=_END)
         flat, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
         starts = lists.offsets.to_numpy().astype(np.int64)
