@@ -59,11 +59,19 @@ def schema_with(rows: DataFrame, ddl: str) -> StructType:
     return StructType([rows.schema["doc_id"], *StructType.fromDDL(ddl)])
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind as it takes not to be one of ``columns``, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` as two columns, doc_id (a struct of all columns but the text) and text, so that whole rows
     pass through an operator whatever their columns are called."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return docs.select(F.struct(F.lit(0).alias("_row"), *rest).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return docs.select(F.struct(F.lit(0).alias(fresh("_row", docs.columns)), *rest).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
 def unfold(folded: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import fresh
+
 MIN_SITES = 5
 MIN_CHARS = 12
 LOG_K = 12
@@ -58,7 +60,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: i
     drop = found.join(bad, "h").where(~here.eqNullSafe(F.col("first"))) \
         .groupBy("row").agg(F.collect_set("pos").alias("drop"))
     # all but the text travels as one struct, so that columns may have any names
-    text, doc = F.col(f"`{text_col}`"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    text, doc = F.col(f"`{text_col}`"), F.struct(F.lit(0).alias(fresh("_", docs.columns)), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     keyed = docs.select(doc.alias("doc"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("row")).join(drop, "row", "left") \
         .withColumn("lines", F.when(F.col("drop").isNotNull(), F.split("text", "\n")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
