@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairlog.llm import best_fit, decontaminate, jaccard_join, line_spread, quality
-from pairlog.llm.common import fold, hash_remainder, small_batches, unfold
+from pairlog.llm.common import fold, fresh, hash_remainder, small_batches, unfold
 from pairlog.session import ship, truncate_lineage, work_dir
 
 QUALITY_THRESHOLD = 0.7
@@ -51,20 +51,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = truncate_lineage(jaccard_join.join_groups(named, width=COPY_WIDTH, percent=COPY_PERCENT)
                               .where("n_shingles > 0 AND doc_id IS NOT NULL"), "groups")
 
+    own, text_key, row_key = (fresh(c, docs.columns) for c in ("_id", "_h", "_row"))
+    keys = [F.col("doc_id.doc_id").alias(own), F.col("doc_id.h").alias(text_key)]
+
     def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
-        return rows.join(keys, (rows["doc_id"] == keys["_id"]) & (F.xxhash64(rows["text"].cast("binary")) == keys["_h"]), "left_anti")
+        return rows.join(keys, (rows["doc_id"] == keys[own]) & (F.xxhash64(rows["text"].cast("binary")) == keys[text_key]), "left_anti")
 
-    copies = truncate_lineage(groups.where("component_id < doc_id").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h"))
-                              .distinct(), "copies")
-    kept = without(docs, jaccard_join.small(copies)).select(*docs.columns)
-    repeated = truncate_lineage(groups.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1")
-                                .select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h")), "repeated")
+    copies = truncate_lineage(groups.where("component_id < doc_id").select(*keys).distinct(), "copies")
+    kept = without(docs, jaccard_join.small(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = truncate_lineage(groups.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select(*keys), "repeated")
     if repeated.isEmpty():
         return kept
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = kept.join(repeated, (F.col("doc_id") == F.col("_id")) & (text_hash == F.col("_h"))).groupBy("_id", "_h") \
-        .agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
-    return without(kept, repeated).select(*docs.columns).union(one)
+    one = kept.join(repeated, (F.col("doc_id") == F.col(own)) & (text_hash == F.col(text_key))).groupBy(own, text_key) \
+        .agg(F.min_by(row, F.to_json(row)).alias(row_key)).select(f"{row_key}.*")
+    return without(kept, repeated).select(*[F.col(f"`{c}`") for c in docs.columns]).union(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
