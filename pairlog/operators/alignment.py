@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.scalar import fill_text, lookup
 from ..functions.vectors import argmax, cosine, let, norm, softmax_tau
-from ..session import truncate_lineage
+from ..session import ship, truncate_lineage
 from .hypothesis import sem, welch_t_test
 
 # Narrative component of each of the nine segments.
@@ -33,7 +36,7 @@ def segment_array(segments: DataFrame, limit: int = MAX_SEGMENTS) -> Column:
     few = segments.select("idx", F.transform("embedding", lambda x: x.cast("double")).alias("e")).limit(limit + 1)
     packed = few.withColumn("n", norm(F.col("e"))).agg(
         F.sort_array(F.collect_list(F.struct("idx", "e", "n"))).alias("a"))
-    return packed.select(F.when(F.size("a") > limit, F.raise_error(F.lit("too many segments")))
+    return packed.select(F.when(F.size("a") > limit, F.raise_error(F.lit(f"more than {limit} segments: use cosine_loadings_by_parts")))
                          .otherwise(F.col("a"))).scalar()
 
 
@@ -43,16 +46,15 @@ def map_segment_group(idx: Column | str, groups: Mapping[int, str] = SEGMENT_GRO
 
 def cosine_loadings(responses: DataFrame, segments: DataFrame, vector: str = "embedding", limit: int = MAX_SEGMENTS) -> DataFrame:
     """Add ``loading``: cosine of each response with every segment, in segment order. One
-    narrow pass over the responses: no join, no shuffle. More than ``limit`` segments (they are counted
-    first) go in arrays of ``limit`` that the responses meet by a join; the result is the same."""
+    narrow pass over the responses: no join, no shuffle, and no job before it runs. More than ``limit`` segments raise
+    when it runs; ``cosine_loadings_by_parts`` takes any number."""
     v = F.col(vector)
-    if segments.limit(limit + 1).count() > limit:
-        return _loadings_by_parts(responses, segments, vector, limit)
     loading = let(norm(v), lambda length: F.transform("_segments", lambda s: cosine(v, s["e"], length, s["n"])))
     return responses.withColumn("_segments", segment_array(segments)).withColumn("loading", loading).drop("_segments")
 
 
-def _loadings_by_parts(responses: DataFrame, segments: DataFrame, vector: str, limit: int) -> DataFrame:
+def cosine_loadings_by_parts(responses: DataFrame, segments: DataFrame, vector: str = "embedding", limit: int = MAX_SEGMENTS) -> DataFrame:
+    """The same for any number of segments: they go in arrays of ``limit``, which the responses meet by a join."""
     number = F.row_number().over(W.orderBy("idx")) - 1  # over the narrative alone
     packed = segments.select("idx", F.transform("embedding", lambda x: x.cast("double")).alias("e")) \
         .withColumn("_part", F.floor(number / limit).cast("int")).withColumn("n", norm(F.col("e"))) \
@@ -107,10 +109,49 @@ def alignment_welch(players: DataFrame) -> DataFrame:
     return welch_t_test(players, "score", "Structure", "Homogeneous", "Spatial", ["Group"])
 
 
+_MODELS: dict[tuple[str, str], Callable] = {}
+
+
+def _loaded(load: Callable) -> Callable:
+    """The model of ``load`` in this worker."""
+    name = (load.__module__, load.__qualname__)
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]):
+    """An embedder made of a user's model: ``load()`` gives a function from texts to a matrix with one row for each. It is
+    called once in every Python worker and kept there (known by the name of ``load``), and the model sees whole
+    Arrow batches."""
+    @pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = _loaded(load)
+        for texts in batches:
+            found = model(texts.tolist())
+            yield pd.Series([row for row in np.asarray(found, dtype=np.float32)], index=texts.index, dtype=object)
+    return embed
+
+
+def letter_model() -> Callable[[list[str]], np.ndarray]:
+    """A small model without weights: how often each letter a to z stands in a text, as a vector of unit length."""
+    letters = np.arange(ord("a"), ord("z") + 1)
+
+    def encode(texts: list[str]) -> np.ndarray:
+        counts = np.zeros((len(texts), len(letters)))
+        for i, text in enumerate(texts):
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            counts[i] = np.bincount(points[points < 128], minlength=128)[letters]
+        length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return np.divide(counts, length, out=counts, where=length > 0)
+    return encode
+
+
 def embed_text(df: DataFrame, text: str, output: str = "embedding", embedder=None, features: int = 256) -> DataFrame:
-    """Text to vector. ``embedder`` is a user's pandas UDF (string -> array<float>); without
-    one, hashed term frequencies weighted by inverse document frequency, of unit length."""
+    """Text to vector. ``embedder`` is a user's pandas UDF (string -> array<float>), such as ``model_embedder`` makes;
+    without one, hashed term frequencies weighted by inverse document frequency, of unit length."""
     if embedder is not None:
+        ship(df.sparkSession)
         return df.withColumn(output, embedder(fill_text(text)))
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import HashingTF, IDF, Normalizer, Tokenizer

@@ -147,13 +147,15 @@ def _cells(keys: Sequence[str], *rest: Column, bound: Sequence[Column] = ()) ->
 def complete(counts: DataFrame, anchor: Sequence[str], keys: Sequence[str], value: str,
              max_levels: int = MAX_LEVELS, max_cells: int = MAX_CELLS) -> DataFrame:
     """Every combination of the observed ``anchor`` rows and the observed levels of each key,
-    absent ones with value 0.
+    absent ones with value 0. NULL is no level, but observed rows that have it stay.
 
     Keys mostly have few levels; the anchor may be of any size. Beyond ``max_levels`` levels or
     ``max_cells`` cells a row the table is unfolded key by key and joined, with the same result. Otherwise
     only the observed counts are shuffled, by anchor. The zero cells come from one short array
-    after the shuffle, and the sum which merges both keeps to the anchor's partitioning.
+    after the shuffle, and the sum which merges both keeps to the anchor's partitioning. The
+    counts are written first: the levels are looked up before the cells are made.
     """
+    counts = truncate_lineage(counts.select(*anchor, *keys, value), "counts")
     sizes = counts.agg(*[F.count_distinct(k).alias(k) for k in keys]).first()
     if sum(sizes) > max_levels or math.prod(sizes) > max_cells:
         cells = counts.select(*anchor).distinct()
@@ -161,8 +163,10 @@ def complete(counts: DataFrame, anchor: Sequence[str], keys: Sequence[str], valu
             cells = unfold(cells, counts.where(F.col(k).isNotNull()).select(k).distinct())
         summed = counts.groupBy(*anchor, *keys).agg(F.sum(value).alias(value))
         same = [cells[c].eqNullSafe(summed[c]) for c in [*anchor, *keys]]
-        return cells.join(summed, same, "left").select(
+        full = cells.join(summed, same, "left").select(
             *[cells[c] for c in [*anchor, *keys]], F.coalesce(summed[value], F.lit(0)).cast("bigint").alias(value))
+        odd = summed.where(" OR ".join(f"`{k}` IS NULL" for k in keys))
+        return full.unionByName(odd.withColumn(value, F.col(value).cast("bigint")))
     levels = level_arrays(counts, keys, max_levels)
     zero = F.lit(0).cast("bigint").alias("_v")
     product = F.lit(1)
@@ -208,12 +212,13 @@ def relation_moments(shifts: DataFrame) -> DataFrame:
 
 
 def _with_all_relations(conditions: DataFrame, table: DataFrame) -> DataFrame:
-    """``conditions`` with every cause and effect of ``table``, and the table's other columns where it has
-    the relation."""
+    """``conditions`` with every cause and effect of ``table`` (a written one), and the table's other columns
+    where it has the relation. The result has a row for every cause and effect, so that the lists of both are short
+    against it; they are found within the plan."""
     keys = [*CONDITION, "cause_topic", "effect_topic"]
     cells = conditions
     for key in ("cause_topic", "effect_topic"):
-        cells = unfold(cells, table.where(F.col(key).isNotNull()).select(key).distinct())
+        cells = cells.withColumn(key, F.explode(table.agg(F.collect_set(key)).scalar()))
     return cells.join(table.drop("people"), keys, "left")
 
 

@@ -150,10 +150,21 @@ def group_pairs_by_trial(schedule: DataFrame, keys: Sequence[str] = ("Identifier
     return d.select(*keys, (F.col("pos") + 1).alias("position"), "Node1", "Node2")
 
 
+def absent_rounds(schedule: DataFrame, rounds: int, keys: Sequence[str] = ("Trial",)) -> DataFrame:
+    """Rounds from 1 to ``rounds`` without any pair: the last key counts rounds, those before it tell
+    schedules apart. A schedule without any row is only known where there are no such keys."""
+    *own, trial = keys
+    each = schedule.select(*own).distinct() if own else schedule.sparkSession.range(1).select()
+    kind = schedule.schema[trial].dataType
+    every = each.withColumn(trial, F.explode(F.sequence(F.lit(1).cast(kind), F.lit(rounds).cast(kind))))
+    there = schedule.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+    return every.join(there, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left_anti").select(*keys)
+
+
 def validate_schedule(schedule: DataFrame, keys: Sequence[str] = ("Trial",), n: Number | None = None,
-                      k: int | None = None) -> DataFrame:
-    """Violations: (keys, node, problem). A node seated twice in a round, ends out of order, and
-    - given n and k - ring partners further apart than k/2."""
+                      k: int | None = None, rounds: int | None = None) -> DataFrame:
+    """Violations: (keys, node, problem). A node seated twice in a round, ends out of order; given n and k,
+    ring partners further apart than k/2; given ``rounds``, rounds that are absent (without node)."""
     seats = schedule.select(*keys, F.explode(F.array("Node1", "Node2")).alias("node"))
     out = (seats.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
            .select(*keys, "node", F.lit("repeated_node").alias("problem")))
@@ -165,13 +176,19 @@ def validate_schedule(schedule: DataFrame, keys: Sequence[str] = ("Trial",), n:
         far = schedule.where(F.least(gap, _n(n) - gap) > k // 2).select(
             *keys, F.col("Node1").alias("node"), F.lit("too_far").alias("problem"))
         out = out.unionByName(far)
+    if rounds is not None:
+        absent = absent_rounds(schedule, rounds, keys).withColumn("node", F.lit(None).cast(schedule.schema["Node1"].dataType))
+        out = out.unionByName(absent.withColumn("problem", F.lit("absent_round")))
     return out
 
 
-def missing_seats(schedule: DataFrame, n: Number, keys: Sequence[str] = ("Trial",)) -> DataFrame:
-    """Rounds in which fewer than n nodes are seated."""
+def missing_seats(schedule: DataFrame, n: Number, keys: Sequence[str] = ("Trial",), rounds: int | None = None) -> DataFrame:
+    """Rounds in which fewer than n nodes are seated; given ``rounds``, absent ones with none."""
     seats = schedule.select(*keys, F.explode(F.array("Node1", "Node2")).alias("node")).distinct()
-    return (seats.groupBy(*keys).agg(F.count(F.lit(1)).alias("seated")).where(F.col("seated") < _n(n)))
+    few = seats.groupBy(*keys).agg(F.count(F.lit(1)).alias("seated")).where(F.col("seated") < _n(n))
+    if rounds is None:
+        return few
+    return few.unionByName(absent_rounds(schedule, rounds, keys).withColumn("seated", F.lit(0).cast("bigint")))
 
 
 def pair_repeats(schedule: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

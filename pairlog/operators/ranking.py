@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -17,22 +16,18 @@ def bucketed_row_number(df: DataFrame, bucket: Column, order: Sequence[Column |
     ``bucket`` must grow with ``order`` (a coarse version of its first key). Rows are
     numbered within (partition, bucket); the start of each bucket is the running sum of
     bucket sizes, worked out on one row per bucket. So the largest sort is one bucket,
-    not one partition, and a partition which holds most rows is still spread.
+    not one partition, and a partition which holds most rows is still spread. Rows with NULL
+    keys are numbered like all others: NULL is a partition, and the first bucket.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    keys = [*partition, "_bucket"]
-    # what the join below would ask of one side is asked of both, so that they stay equal
-    keyed = keyed.where(functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    # The sizes ask for whole rows, so that both branches read one and the same exchange below and the
-    # source is scanned once; a branch pruned to the keys would be a second scan and shuffle.
-    rest = [F.col(f"`{c}`") for c in keyed.columns if c not in keys]
-    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(F.lit(1), *rest)).alias("_all")) \
-        .where(F.col("_all").isNotNull()).drop("_all")
-    before = W.partitionBy(*partition).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    # the keys as one struct, which is never NULL itself and equals another one with the same NULLs
+    keyed = df.withColumn("_key", F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(partition)], bucket.alias("bucket")))
+    # a second pass over the source, of the keys alone, counted before they are shuffled
+    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*[F.col(f"_key.p{i}") for i in range(len(partition))]).orderBy("_key.bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    local = W.partitionBy(*keys).orderBy(*[as_col(c) for c in order])
-    joined = keyed.join(starts, keys)
-    return joined.withColumn(name, F.col("_start") + F.row_number().over(local) - 1).drop("_bucket", "_start")
+    local = W.partitionBy("_key").orderBy(*[as_col(c) for c in order])
+    joined = keyed.join(starts, "_key")
+    return joined.withColumn(name, F.col("_start") + F.row_number().over(local) - 1).drop("_key", "_start")
 
 
 def top_k_with_ties(df: DataFrame, by: str, k: int, partition: Sequence[str] = ()) -> DataFrame:

@@ -91,3 +91,15 @@ def _(t):
     d = A.embed_text(t.table("conversations"), "text")
     return d.select("conv_id", "turn", F.size("embedding").alias("dims"),
                     F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x * x).alias("squared_length"))
+
+
+@query("embed_text_model", f"""
+    WITH letters AS (SELECT unnest(range(0, 26)) AS i),
+    counted AS (SELECT conv_id, turn, i, CAST(length(text) - length(replace(text, chr(CAST(97 + i AS INT)), '')) AS DOUBLE) AS c FROM conversations, letters)
+    SELECT conv_id, turn, CAST(i AS INT) AS letter, {r6('CAST(c / sqrt(sum(c * c) OVER (PARTITION BY conv_id, turn)) AS FLOAT)')} AS value
+    FROM counted QUALIFY sum(c) OVER (PARTITION BY conv_id, turn) > 0""")
+def _(t):
+    """The numbers that a model loaded in the workers gives for every text, one by one."""
+    d = A.embed_text(t.table("conversations"), "text", embedder=A.model_embedder(A.letter_model))
+    some = d.where(F.exists("embedding", lambda x: x > 0))
+    return some.select("conv_id", "turn", F.posexplode("embedding").alias("letter", "value")).withColumn("value", F.col("value").cast("double"))

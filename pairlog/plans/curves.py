@@ -36,9 +36,11 @@ def long(t):
     return R.curves_long(wide(t)).where(F.col("Entropy").isNotNull())
 
 
-@query("model_comparison_table", 'SELECT TrialNumber AS "Trial", ' + ", ".join(
-    f"""{r6(f"avg(value) FILTER (concat(Model, ' ', Structure, ' ', Content) = '{n}')")} AS "{n}" """ for n in NAMES)
-    + " FROM v_models GROUP BY ALL")
+WIDE_SQL = 'SELECT TrialNumber AS "Trial", ' + ", ".join(
+    f"""{r6(f"avg(value) FILTER (concat(Model, ' ', Structure, ' ', Content) = '{n}')")} AS "{n}" """ for n in NAMES) + " FROM v_models GROUP BY ALL"
+
+
+@query("model_comparison_table", WIDE_SQL)
 def _(t):
     return wide(t)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import interactions as I, pairing as P, reshape as R
+from ..operators import interactions as I, matching as M, networks as N, pairing as P, reshape as R
 from ..sources.files import sample_schedule
 from .registry import query
 
@@ -53,6 +53,17 @@ def _(t):
     return d.groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+@query("random_regular_edges", """
+    SELECT 4::BIGINT AS degree, count(*) AS nodes, 2 * count(*) AS edges, 0::BIGINT AS faults FROM customer""")
+def _(t):
+    """Degrees of a random network over the customers, and its edges that are loops or there twice."""
+    edges = N.random_regular_edges(people(t)[0], 4, seed=11)
+    faults = edges.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(
+        (F.count(F.lit(1)) - F.when(F.col("a") == F.col("b"), 0).otherwise(1)).alias("f")).agg(F.sum("f")).scalar()
+    d = P.degree(edges).groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
+    return d.withColumn("edges", edges.agg(F.count(F.lit(1))).scalar()).withColumn("faults", faults)
+
+
 @query("round_robin", f"""
     SELECT CAST(r + 1 AS INT) AS "Trial", least(a, b) AS Node1, greatest(a, b) AS Node2 FROM (
       SELECT r, (r + c_custkey) % ({_N} - 1) + 1 AS a,
@@ -94,6 +105,41 @@ def _(t):
     return seats.groupBy("Trial").agg(F.count(F.lit(1)).alias("seated"))
 
 
+def seating(schedule, edges, rounds):
+    """Of each round: pairs, distinct nodes seated, pairs off the network, nodes left over."""
+    off = schedule.join(edges.select(F.least("u", "v").alias("Node1"), F.greatest("u", "v").alias("Node2"), F.lit(0).alias("off")).distinct(),
+                        ["Node1", "Node2"], "left").groupBy("Trial").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.coalesce("off", F.lit(1))).alias("off_graph"))
+    seats = schedule.select("Trial", F.explode(F.array("Node1", "Node2")).alias("node")).distinct().groupBy("Trial").agg(F.count(F.lit(1)).alias("seated"))
+    left = M.left_over(edges, schedule, rounds).groupBy("Trial").agg(F.count(F.lit(1)).alias("alone"))
+    return off.join(seats, "Trial").join(left, "Trial", "left").select("Trial", "pairs", "seated", "off_graph", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+_SEATING = """
+    SELECT CAST(r AS INT) AS "Trial", pairs, 2 * pairs AS seated, 0::BIGINT AS off_graph, nodes - 2 * pairs AS alone FROM ({}), range(1, {}) g(r)"""
+
+
+@query("edge_matching_regular", _SEATING.format("SELECT CAST(floor(count(*) / 2) AS BIGINT) AS pairs, count(*) AS nodes FROM customer", 11))
+def _(t):
+    """A random network in which everybody can find a partner, and does in every round."""
+    edges = P.regular_edges(*people(t), seed=7)
+    return seating(M.random_matching(edges, 10, seed=3), edges, 10)
+
+
+@query("edge_matching_orders", _SEATING.format(
+    "SELECT count(DISTINCT o_custkey) AS pairs, count(DISTINCT o_custkey) + count(*) AS nodes FROM orders", 4))
+def _(t):
+    """Customers and their orders: a customer takes one of them, and all other orders are left over."""
+    edges = t.table("orders").select((-1 - F.col("o_custkey")).alias("u"), F.col("o_orderkey").alias("v"))
+    return seating(M.random_matching(edges, 3, seed=3), edges, 3)
+
+
+@query("edge_matching_hubs", _SEATING.format("SELECT CAST(floor(count(*) / 2) AS BIGINT) AS pairs, count(*) AS nodes FROM customer", 6))
+def _(t):
+    """A ring on which two nodes know everybody."""
+    edges = P.hub_edges(*people(t), hubs=2)
+    return seating(M.random_matching(edges, 5, seed=5), edges, 5)
+
+
 @query("hub_matching")
 def _(t):
     return P.hub_matching(*people(t), rounds=ROUNDS, hubs=2, seed=3)
@@ -166,6 +212,16 @@ def _(t):
     return P.validate_schedule(d)
 
 
+@query("absent_rounds", """
+    SELECT l_orderkey AS "Order", CAST(r AS INT) AS "Trial" FROM (SELECT DISTINCT l_orderkey FROM lineitem), range(1, 8) g(r)
+    WHERE (l_orderkey, r) NOT IN (SELECT (l_orderkey, l_linenumber) FROM lineitem)""")
+def _(t):
+    """Orders read as schedules of seven rounds, a line as a pair: rounds without a line."""
+    d = t.table("lineitem").select(F.col("l_orderkey").alias("Order"), F.col("l_linenumber").cast("int").alias("Trial"),
+                                   F.col("l_partkey").alias("Node1"), F.col("l_suppkey").alias("Node2"))
+    return P.absent_rounds(d, 7, ("Order", "Trial"))
+
+
 @query("missing_seats", """
     SELECT Identifier, TrialNumber, 2 * count(*) AS seated FROM v_pairs GROUP BY ALL HAVING 2 * count(*) < (SELECT max(Size) FROM v_sizes)""")
 def _(t):

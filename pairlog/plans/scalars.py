@@ -49,18 +49,18 @@ def _(t):
 
 
 @query("validate_response", """
-    SELECT conv_id, turn,
+    SELECT conv_id, turn, role,
            concat_ws(',', CASE WHEN length(text) < 50 THEN 'too_short' END, CASE WHEN length(text) > 280 THEN 'too_long' END) AS text_rules,
            concat_ws(',', CASE WHEN tag IN ('fukushima', 'japan') THEN 'banned' END, CASE WHEN length(word) < 1 THEN 'too_short' END,
                      CASE WHEN length(word) > 35 THEN 'too_long' END, CASE WHEN contains(word, ' ') THEN 'has_space' END) AS hashtag_rules,
            len(list_distinct(words)) < len(words) AS repeats
     FROM (SELECT *, string_split(text, ' ') AS words, string_split(text, chr(10))[1] AS word,
                  lower(regexp_replace(trim(string_split(text, chr(10))[1]), '[^a-zA-Z0-9_]', '', 'g')) AS tag
-          FROM conversations WHERE role = 'user')""")
+          FROM conversations)""")
 def _(t):
-    d = t.table("conversations").where(F.col("role") == "user")
+    d = t.table("conversations")
     word = F.get(F.split("text", "\n"), F.lit(0))
-    return d.select("conv_id", "turn",
+    return d.select("conv_id", "turn", "role",
                     F.concat_ws(",", S.text_violations("text")).alias("text_rules"),
                     F.concat_ws(",", S.hashtag_violations(word)).alias("hashtag_rules"),
                     S.has_duplicates(F.split("text", " ")).alias("repeats"))

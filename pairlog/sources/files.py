@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import functools
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -34,13 +34,15 @@ def _files_by_header(spark: SparkSession, path) -> list[tuple[list[str], list[st
 
 
 def _by_name(spark: SparkSession, path, schema: T.StructType, more: dict[str, Column] | None = None,
-             alias: dict[str, str] | None = None, **options) -> DataFrame:
+             spelled: Callable[[str], str] = lambda c: c, groups: list[tuple[list[str], list[str]]] | None = None,
+             **options) -> DataFrame:
     """CSV files with a header each: columns are matched by name file by file, so files may order them
-    differently or lack some (NULL). ``alias``: other spellings; ``more``: columns from file metadata."""
-    by_name, alias = {f.name: f for f in schema.fields}, alias or {}
+    differently or lack some (NULL). ``spelled``: a header's name as the schema has it; ``more``: columns from
+    file metadata."""
+    by_name = {f.name: f for f in schema.fields}
     parts = []
-    for header, files in _files_by_header(spark, path):
-        names = [alias.get(c, c) for c in header]
+    for header, files in _files_by_header(spark, path) if groups is None else groups:
+        names = [spelled(c) for c in header]
         found = T.StructType([by_name.get(c, T.StructField(f"_{i}", T.StringType())) if c not in names[:i] else T.StructField(f"_{i}", T.StringType())
                               for i, c in enumerate(names)])
         parts.append(_csv(spark, files, found, **options).select(
@@ -56,24 +58,24 @@ def read_interactions(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
     are matched by header name, and absent ones are NULL. Parquet keeps its own schema."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return _by_name(spark, path, schemas.INTERACTIONS, alias={"random ID": "random_id"})
+    return _by_name(spark, path, schemas.INTERACTIONS, spelled=lambda c: "random_id" if c == "random ID" else c)
 
 
-def run_metadata(file_name: Column | str) -> dict[str, Column]:
-    """Identifier and condition columns taken from a run file's name."""
-    name = F.element_at(F.split(as_col(file_name), "/"), -1)
-    code = F.regexp_extract(name, r"^([fh]\d+[sh]\d+)", 1)
+def run_metadata(file_path: Column | str) -> dict[str, Column]:
+    """Identifier and condition columns taken from the name of a run's file, or of the folder that holds its part
+    files (``name=`` in front, as partitioned writers have it, does not matter)."""
+    code = F.regexp_extract(as_col(file_path), r"(?:^|/|=)([fh]\d+[sh]\d+)[^/]*(?:/part-[^/]*)?$", 1)
     return {"Identifier": F.nullif(code, F.lit("")), **parse_run_code(code)}
 
 
 def read_run_files(spark: SparkSession, path) -> DataFrame:
     """Many one-run CSV files as one table; the condition comes from the file name."""
-    return _by_name(spark, path, schemas.RUN_LOG, run_metadata(F.col("_metadata.file_name")))
+    return _by_name(spark, path, schemas.RUN_LOG, run_metadata(F.col("_metadata.file_path")))
 
 
 def read_prepost(spark: SparkSession, path) -> DataFrame:
     """The wide pre/post table: quoted commas and line breaks inside fields."""
-    df = _by_name(spark, path, schemas.PREPOST, run_metadata(F.col("_metadata.file_name")), multiLine=True, escape='"', quote='"')
+    df = _by_name(spark, path, schemas.PREPOST, run_metadata(F.col("_metadata.file_path")), multiLine=True, escape='"', quote='"')
     return (df.withColumn("recorded_at", parse_recorded_date("RecordedDate"))
             .withColumnRenamed("random ID", "random_id"))
 
@@ -89,9 +91,9 @@ def read_pairs(spark: SparkSession, path) -> DataFrame:
             .where(F.col("Node1").isNotNull()))
 
 
-def read_survey(spark: SparkSession, path) -> DataFrame:
-    """One row per question of a survey definition."""
-    raw = spark.read.schema(schemas.SURVEY).option("multiLine", True).json(path)
+def read_survey(spark: SparkSession, path, lines: bool = False) -> DataFrame:
+    """One row per question of a survey definition: a file each, or with ``lines`` one in every line."""
+    raw = spark.read.schema(schemas.SURVEY).option("multiLine", not lines).json(path)
     element = (raw.select(F.col("SurveyEntry.SurveyName").alias("survey"),
                           F.explode("SurveyElements").alias("e"))
                .where(F.col("e.Element") == "SQ"))
@@ -106,19 +108,13 @@ def read_survey(spark: SparkSession, path) -> DataFrame:
         F.col("q.Validation.Settings.TotalChars").try_cast("int").alias("max_chars"))
 
 
-def _dotted(df: DataFrame) -> DataFrame:
-    """R writes spaces in column names as dots; use one spelling."""
-    return df.withColumnsRenamed({c: re.sub(r"[. ]", "_", c) for c in df.columns if re.search(r"[. ]", c)})
-
-
 def _by_header(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """Columns by header name (index and unknown columns dropped), typed as declared."""
-    df = _dotted(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path))
-    names = {c.lower(): c for c in df.columns}
-    return df.select(*[
-        (F.col(f"`{names[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in names
-         else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schema.fields])
+    """Columns by each file's header (index and unknown columns dropped), typed as declared. Case does not matter, and
+    R writes spaces in column names as dots."""
+    plain = {f.name.lower(): f.name for f in schema.fields}
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    d = _by_name(spark, path, text, spelled=lambda c: plain.get(re.sub(r"[. ]", "_", c).lower(), c), multiLine=True, escape='"')
+    return d.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_tweets(spark: SparkSession, path) -> DataFrame:
@@ -137,8 +133,10 @@ def read_sweep(spark: SparkSession, path) -> DataFrame:
 
 def read_curves(spark: SparkSession, path) -> DataFrame:
     """Wide curves: ``Trial`` plus one double column per curve, names kept as they are."""
-    df = spark.read.option("header", True).csv(path)
-    keep = [c for c in df.columns if c and not c.startswith("_c") and c != "Trial"]
+    groups = _files_by_header(spark, path)
+    keep = list(dict.fromkeys(c for header, _ in groups for c in header if c and c != "Trial"))
+    text = T.StructType([T.StructField(c, T.StringType()) for c in ["Trial", *keep]])
+    df = _by_name(spark, path, text, groups=groups)
     return df.select(F.col("Trial").try_cast("int").alias("Trial"),
                      *[F.col(f"`{c}`").try_cast("double").alias(c) for c in keep])
 

@@ -158,3 +158,14 @@ def test_five_thousand_topics(spark):
     moments = C.relation_moments(shifts)
     assert moments.count() == 5000 and moments.where("n = 3 AND sx = 1 AND sxx = 1").count() == 5000
     assert C.unique_signers(shifts).where("unique_positive_count = 1 AND unique_negative_count = 0").count() == 5000
+
+
+@pytest.mark.parametrize("levels", [1000, 0])
+def test_complete_keeps_rows_without_a_level(spark, levels):
+    """The packed form and the joined form give the same rows, NULL topics included."""
+    d = spark.createDataFrame([("p", "x", "y", 2), ("p", None, "y", 3), ("q", "x", None, 1), ("q", "z", "y", 4), (None, "z", "w", 5), ("p", None, None, 7)],
+                              "person string, cause string, effect string, n int")
+    got = {(r.person, r.cause, r.effect): r.n for r in C.complete(d, ["person"], ["cause", "effect"], "n", max_levels=levels).collect()}
+    seen = {("p", "x", "y"): 2, ("p", None, "y"): 3, ("q", "x", None): 1, ("q", "z", "y"): 4, (None, "z", "w"): 5, ("p", None, None): 7}
+    cells = {(p, c, e): 0 for p in ("p", "q", None) for c in ("x", "z") for e in ("y", "w")}
+    assert got == cells | seen

@@ -104,6 +104,39 @@ def test_many_segments_by_parts(spark):
     segments, responses = rng.normal(size=(2000, 8)), rng.normal(size=(7, 8))
     s = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(segments)], "idx int, embedding array<double>")
     r = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(responses)], "vec_id int, embedding array<double>")
-    got = {x.vec_id: x.loading for x in A.cosine_loadings(r, s).collect()}
+    got = {x.vec_id: x.loading for x in A.cosine_loadings_by_parts(r, s).collect()}
     want = responses @ segments.T / np.linalg.norm(responses, axis=1)[:, None] / np.linalg.norm(segments, axis=1)
     assert all(np.allclose(got[i], want[i]) for i in range(7))
+    with pytest.raises(Exception, match="more than 1000 segments"):
+        A.cosine_loadings(r, s).collect()
+
+
+def test_no_job_before_the_loadings_run(spark):
+    tracker = spark.sparkContext.statusTracker()
+    segments = spark.range(9).select(F.col("id").cast("int").alias("idx"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    responses = spark.range(5).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    before = len(tracker.getJobIdsForGroup(None))
+    d = A.narrative_alignment(responses, segments)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert d.count() == 5
+
+
+def test_a_model_is_loaded_once(spark):
+    """Texts of many batches and tasks: in every worker the first load is the only one."""
+    def counting_model():
+        import builtins
+        builtins.loads = getattr(builtins, "loads", 0) + 1
+        loads = builtins.loads
+        return lambda texts: [[len(t), loads] for t in texts]
+
+    d = spark.range(4000).select(F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("t"), "id").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = A.embed_text(d, "t", embedder=A.model_embedder(counting_model)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(list(r.embedding) == [r.id % 7, 1.0] for r in got)
+    letters = {r.t: r.embedding for r in A.embed_text(spark.createDataFrame([("abab",), ("",), (None,), ("Ünc1",)], "t string"), "t",
+                                                      embedder=A.model_embedder(A.letter_model)).collect()}
+    assert letters["abab"][:3] == pytest.approx([0.5**0.5, 0.5**0.5, 0]) and not any(letters[""]) and not any(letters[None])
+    assert letters["Ünc1"][13] == pytest.approx(0.5**0.5)

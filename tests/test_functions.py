@@ -102,3 +102,48 @@ def test_binomial(spark, k, n):
 def test_beta_edges(spark):
     r = one(spark, none=B.binomial_half_p(F.lit(0), F.lit(0)), q=B.beta_quantile(F.lit(0.5), F.lit(3.0), F.lit(3.0)))
     assert r.none is None and r.q == pytest.approx(0.5)
+
+
+def normal_tail(z):
+    return math.erfc(z / math.sqrt(2))
+
+
+@pytest.mark.parametrize("df", [10**8, 10**10, 10**12, 10**15])
+@pytest.mark.parametrize("t", [0.5, 1.96, 5.0, 10.0])
+def test_student_t_of_any_size(spark, df, t):
+    """Beyond a hundred million degrees of freedom: the normal tail and the first term of its expansion."""
+    first = 2 * math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * (t**3 + t) / 4 / df
+    assert one(spark, p=B.student_t_p(F.lit(t), F.lit(df))).p == pytest.approx(normal_tail(t) + first, rel=1e-9)
+
+
+@pytest.mark.parametrize("t", [1e-6, 0.01, 1.0, 30.0, 1e6])
+def test_student_t_closed_forms(spark, t):
+    r = one(spark, one=B.student_t_p(F.lit(t), F.lit(1)), two=B.student_t_p(F.lit(t), F.lit(2)))
+    assert r.one == pytest.approx(2 / math.pi * math.atan2(1, t), rel=1e-11)
+    assert r.two == pytest.approx(2 / ((2 + t * t) + t * math.sqrt(2 + t * t)), rel=1e-11)
+
+
+def test_quantiles_invert(spark):
+    for prob in (0.6, 0.9, 0.975, 0.9999):
+        r = one(spark, **{f"d{i}": B.student_t_p(B.student_t_quantile(F.lit(prob), F.lit(df)), F.lit(df))
+                          for i, df in enumerate((1.0, 1.3, 2.0, 3.9, 4.0, 11.0, 500.0, 1e6, 1e12))})
+        assert list(r) == pytest.approx([2 * (1 - prob)] * 9, rel=1e-9)
+    assert one(spark, q=B.student_t_quantile(F.lit(0.975), F.lit(1))).q == pytest.approx(12.706204736432095, rel=1e-10)
+    for prob in (0.025, 0.5, 0.975):
+        shapes = [(1.0, 1.0), (1.0, 900.0), (900.0, 1.0), (3.0, 40.0), (0.5, 0.5), (2000.0, 1500.0), (1e9, 1e9)]
+        r = one(spark, **{f"q{i}": B.beta_inc(F.lit(a), F.lit(b), B.beta_quantile(F.lit(prob), F.lit(a), F.lit(b))) for i, (a, b) in enumerate(shapes)})
+        assert list(r) == pytest.approx([prob] * len(shapes), rel=1e-7)
+    assert one(spark, q=B.beta_quantile(F.lit(0.025), F.lit(1.0), F.lit(900.0))).q == pytest.approx(1 - 0.975 ** (1 / 900), rel=1e-9)
+
+
+def test_beta_borders(spark):
+    r = one(spark, zero=B.beta_inc(F.lit(2.0), F.lit(3.0), F.lit(0.0)), all=B.beta_inc(F.lit(2.0), F.lit(3.0), F.lit(1.0)),
+            none=B.beta_inc(F.lit(None).cast("double"), F.lit(3.0), F.lit(0.0)), half=B.beta_inc(F.lit(2.0), F.lit(2.0), F.lit(0.3)))
+    assert (r.zero, r.all, r.none) == (0.0, 1.0, None) and r.half == pytest.approx(0.3**2 * (3 - 0.6), rel=1e-11)
+
+
+def test_large_binomials(spark):
+    n = 10**10
+    k = n // 2 - 150_000
+    z = (n / 2 - k - 0.5) / math.sqrt(n / 4)  # with the correction for whole numbers
+    assert one(spark, p=B.binomial_half_p(F.lit(k), F.lit(n))).p == pytest.approx(normal_tail(z), rel=1e-6)

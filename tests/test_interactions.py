@@ -187,3 +187,13 @@ def test_sixty_days_lose_nothing(spark, tmp_path):
         .write.parquet(str(tmp_path / "events.parquet"))
     log = Tables(spark, str(tmp_path)).interactions()
     assert log.count() == 360 and {r[0] for r in log.select("TrialNumber").distinct().collect()} == set(range(1, 61))
+
+
+def test_rows_without_keys_are_numbered(spark):
+    """NULL in a partition or in the bucket's column: no row is lost."""
+    from pairlog.operators.ranking import bucketed_row_number
+    rows = [("a", 5), ("a", None), ("a", 70), (None, 1), (None, None), (None, 99)]
+    d = spark.createDataFrame(rows, "run string, v int")
+    got = {(r.run, r.v): r.pos for r in bucketed_row_number(d, F.floor(F.col("v") / 16), ["v"], ["run"]).collect()}
+    assert got == {("a", None): 0, ("a", 5): 1, ("a", 70): 2, (None, None): 0, (None, 1): 1, (None, 99): 2}
+    assert sorted(r.pos for r in bucketed_row_number(d, F.floor(F.col("v") / 16), ["v"]).collect()) == list(range(6))

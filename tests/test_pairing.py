@@ -3,7 +3,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pairlog.operators import pairing as P
+from pairlog.operators import networks as N, pairing as P
 
 
 def nodes(spark, n):
@@ -117,3 +117,33 @@ def test_records_without_id_stay(spark):
     people = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "record int, participant_id string")
     got = {r.record: r.new_id for r in P.reissue_duplicate_ids(people, "record").collect()}
     assert got[1] == "a" and got[2] is None and got[4] is None and got[3] not in ("a", None)
+
+
+def triangles(edges):
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    return sum(len(near[a] & near[b]) for a, b in edges) // 3
+
+
+@pytest.mark.parametrize("n,k", [(10, 4), (300, 4), (200, 3), (101, 6), (40, 15)])
+def test_random_regular_edges(spark, n, k):
+    found = [sorted(tuple(r) for r in N.random_regular_edges(nodes(spark, n), k, seed=s).collect()) for s in (1, 2, 1)]
+    assert found[0] == found[2] != found[1]
+    for edges in found:
+        assert len(edges) == len(set(edges)) == n * k // 2 and all(a < b for a, b in edges)
+        seats = defaultdict(int)
+        for e in edges:
+            for x in e:
+                seats[x] += 1
+        assert len(seats) == n and set(seats.values()) == {k}
+
+
+def test_random_networks_differ_in_shape(spark):
+    """Not one network with other names: the numbers of triangles differ."""
+    counts = {triangles([tuple(r) for r in N.random_regular_edges(nodes(spark, 60), 6, seed=s).collect()]) for s in range(5)}
+    assert len(counts) > 1
+    for n, k in ((7, 3), (8, 4), (5, 0)):
+        with pytest.raises(ValueError):
+            N.random_regular_edges(nodes(spark, n), k)

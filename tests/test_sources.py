@@ -109,3 +109,21 @@ def test_every_file_has_its_own_header(spark, tmp_path):
     (tmp_path / "runs" / "h50s2.csv").write_text("Response,id,ResponseType,TrialNumber\nwaves,2,hashtag,5\n")
     got = {(r.Identifier, r.id, r.TrialNumber, r.ResponseType, r.Response, r.Size) for r in files.read_run_files(spark, str(tmp_path / "runs")).collect()}
     assert got == {("f20h1", 1, 4, "name", "emily", 20), ("h50s2", 2, 5, "hashtag", "waves", 50)}
+
+
+def test_tables_whose_files_differ(spark, tmp_path):
+    (tmp_path / "claims").mkdir()
+    (tmp_path / "claims" / "a.csv").write_text(",text,cause,effect,cause_cluster,effect_cluster\n0,c1,x1,y1,1,2\n")
+    (tmp_path / "claims" / "b.csv").write_text("effect_cluster,cause,text,effect,cause_cluster,more\n4,x2,c2,y2,3,z\n")
+    got = {(c.text, c.cause, c.effect, c.cause_cluster, c.effect_cluster) for c in files.read_claims(spark, str(tmp_path / "claims")).collect()}
+    assert got == {("c1", "x1", "y1", 1, 2), ("c2", "x2", "y2", 3, 4)}
+    (tmp_path / "curves").mkdir()
+    (tmp_path / "curves" / "a.csv").write_text(",Trial,A,B\n1,1,0.5,0.25\n")
+    (tmp_path / "curves" / "b.csv").write_text(",B,C,Trial\n1,0.75,0.1,2\n")
+    got = {(r.Trial, r.A, r.B, r.C) for r in files.read_curves(spark, str(tmp_path / "curves")).collect()}
+    assert got == {(1, 0.5, 0.25, None), (2, None, 0.75, 0.1)}
+    (tmp_path / "sweep").mkdir()
+    (tmp_path / "sweep" / "a.csv").write_text(",alpha,entropy_dist,bn_dist,ec_dist,rs_dist,rp_dist\n0,0.1,1,2,3,4,5\n")
+    (tmp_path / "sweep" / "b.csv").write_text("rp_dist,alpha,Entropy.dist\n9,0.2,7\n")
+    got = {(r.alpha, r.entropy_dist, r.rp_dist) for r in files.read_sweep(spark, str(tmp_path / "sweep")).collect()}
+    assert got == {(0.1, 1.0, 5.0), (0.2, 7.0, 9.0)}
