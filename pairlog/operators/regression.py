@@ -1,7 +1,7 @@
 """Newton fits of penalised likelihoods on counted covariate patterns.
 
-A pass sums the log likelihood, its gradient and its Hessian over the patterns in one aggregate without keys,
-as plain columns; a few hundred numbers at most come to the driver, which solves for the step. The
+A pass sums the log likelihood, its gradient and its Hessian over the patterns: every task over its own, in numpy, so that
+one short row of sums for each partition comes to the driver, which adds them and solves for the step. The
 parameters are the intercept at the mean of the covariates, one slope for each covariate, and what else a family
 needs. Priors are normal: ``sd`` on slopes, ``intercept_sd`` on that intercept, as usual for models written
 with centred covariates; the intercept is given back for covariates of zero.
@@ -10,13 +10,14 @@ with centred covariates; the intercept is given back for covariates of zero.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.special import digamma, log_gamma, trigamma
+from ..session import ship
 
 MAX_STEPS = 100
 TOLERANCE = 1e-10
@@ -36,73 +37,70 @@ class Fit(NamedTuple):
     steps: int
 
 
-# -- families: log likelihood, gradient and Hessian of one row -------------------------------------------
+# -- families: log likelihood, gradient and Hessian of each row -------------------------------------------
 class Terms(NamedTuple):
-    """Of one pattern: its log likelihood, the derivative by each linear predictor and each extra parameter (in
+    """Of the patterns: their log likelihood, the derivatives by each linear predictor and each extra parameter (in
     that order), and the second derivatives (i, j), i <= j."""
-    value: Column
-    first: list[Column]
-    second: dict[tuple[int, int], Column]
+    value: np.ndarray
+    first: list[np.ndarray]
+    second: dict[tuple[int, int], np.ndarray]
 
 
-def bernoulli(eta: list[Column], y: Column, extra: dict[str, float]) -> Terms:
-    (e,) = eta
-    p = 1 / (1 + F.exp(-e))
-    value = y * e - F.greatest(e, F.lit(0.0)) - F.log1p(F.exp(-F.abs(e)))
-    return Terms(value, [y - p], {(0, 0): -p * (1 - p)})
+def bernoulli(eta: np.ndarray, y: np.ndarray, extra: dict[str, float]) -> Terms:
+    e = eta[:, 0]
+    p = 1 / (1 + np.exp(-e))
+    return Terms(y * e - np.logaddexp(0, e), [y - p], {(0, 0): -p * (1 - p)})
 
 
-def gaussian(eta: list[Column], y: Column, extra: dict[str, float]) -> Terms:
+def gaussian(eta: np.ndarray, y: np.ndarray, extra: dict[str, float]) -> Terms:
     """With the standard deviation as a parameter, on the log scale."""
-    (e,) = eta
     log_sd = extra["log_sigma"]
-    r, v = y - e, math.exp(-2 * log_sd)
+    r, v = y - eta[:, 0], math.exp(-2 * log_sd)
     return Terms(-log_sd - 0.5 * math.log(2 * math.pi) - 0.5 * v * r * r, [v * r, v * r * r - 1.0],
-                 {(0, 0): F.lit(-v), (0, 1): -2 * v * r, (1, 1): -2 * v * r * r})
+                 {(0, 0): np.full_like(r, -v), (0, 1): -2 * v * r, (1, 1): -2 * v * r * r})
 
 
-def beta(eta: list[Column], y: Column, extra: dict[str, float]) -> Terms:
+def beta(eta: np.ndarray, y: np.ndarray, extra: dict[str, float]) -> Terms:
     """Beta(mu phi, (1 - mu) phi), mu by a logit, phi on the log scale. Expected second derivatives, so
     that every step is uphill."""
-    (e,) = eta
-    phi = math.exp(extra["log_phi"])
-    mu = 1 / (1 + F.exp(-e))
+    phi, mu = math.exp(extra["log_phi"]), 1 / (1 + np.exp(-eta[:, 0]))
     a, b, slope = mu * phi, (1 - mu) * phi, mu * (1 - mu)
-    value = math.lgamma(phi) - log_gamma(a) - log_gamma(b) + (a - 1) * F.log(y) + (b - 1) * F.log(1 - y)
-    da, db, ta, tb = digamma(a), digamma(b), trigamma(a), trigamma(b)
-    gap = F.log(y) - F.log(1 - y) - (da - db)
-    by_phi = _digamma(phi) + mu * (F.log(y) - da) + (1 - mu) * (F.log(1 - y) - db)
-    return Terms(value, [phi * gap * slope, phi * by_phi],
+    log_y, log_z = np.log(y), np.log1p(-y)
+    value = math.lgamma(phi) - _lgamma(a) - _lgamma(b) + (a - 1) * log_y + (b - 1) * log_z
+    da, db, ta, tb = _digamma(a), _digamma(b), _trigamma(a), _trigamma(b)
+    by_phi = _digamma(phi) + mu * (log_y - da) + (1 - mu) * (log_z - db)
+    return Terms(value, [phi * (log_y - log_z - da + db) * slope, phi * by_phi],
                  {(0, 0): -phi * phi * (ta + tb) * slope * slope, (0, 1): -phi * phi * (ta * mu - tb * (1 - mu)) * slope,
                   (1, 1): -phi * phi * (ta * mu * mu + tb * (1 - mu) * (1 - mu) - _trigamma(phi))})
 
 
-def categorical(eta: list[Column], y: Column, extra: dict[str, float]) -> Terms:
+def categorical(eta: np.ndarray, y: np.ndarray, extra: dict[str, float]) -> Terms:
     """Class 0 is the reference; predictor i belongs to class i + 1."""
-    top = F.greatest(F.lit(0.0), *eta)
-    weights = [F.exp(e - top) for e in eta]
-    total = sum(weights, F.exp(-top))
-    p = [w / total for w in weights]
-    is_ = [(y == i + 1).cast("double") for i in range(len(eta))]
-    value = sum((i * e for i, e in zip(is_, eta)), F.lit(0.0)) - top - F.log(total)
-    second = {(i, j): -p[i] * ((1.0 if i == j else 0.0) - p[j]) for i in range(len(eta)) for j in range(i, len(eta))}
-    return Terms(value, [i - q for i, q in zip(is_, p)], second)
+    k = eta.shape[1]
+    top = np.maximum(0.0, eta.max(axis=1))
+    weights = np.exp(eta - top[:, None])
+    total = weights.sum(axis=1) + np.exp(-top)
+    p, is_ = weights / total[:, None], y[:, None] == np.arange(1, k + 1)
+    second = {(i, j): -p[:, i] * ((1.0 if i == j else 0.0) - p[:, j]) for i in range(k) for j in range(i, k)}
+    return Terms((is_ * eta).sum(axis=1) - top - np.log(total), list((is_ - p).T), second)
 
 
-def _digamma(x: float) -> float:
-    out = 0.0
-    while x < 12:
-        out, x = out - 1 / x, x + 1
-    r = 1 / (x * x)
-    return out + math.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-def _trigamma(x: float) -> float:
-    out = 0.0
-    while x < 12:
-        out, x = out + 1 / (x * x), x + 1
-    r = 1 / (x * x)
-    return out + 0.5 * r + (1 + r * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66))))) / x
+def _digamma(x):
+    """Ten steps of the recurrence, then the asymptotic series."""
+    z = x + 10
+    r = 1 / (z * z)
+    series = r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r * (1 / 132 - r * (691 / 32760 - r / 12))))))
+    return np.log(z) - 0.5 / z - series - sum(1 / (x + i) for i in range(10))
+
+
+def _trigamma(x):
+    z = x + 10
+    r = 1 / (z * z)
+    series = (1 + r * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * (5 / 66 - r * (691 / 2730 - r * 7 / 6))))))) / z
+    return series + 0.5 * r + sum(1 / ((x + i) * (x + i)) for i in range(10))
 
 
 class Extra(NamedTuple):
@@ -132,40 +130,40 @@ def covariate_means(patterns: DataFrame, xs: Sequence[str]) -> tuple[float, np.n
     return n, np.array([float(v or 0) / n if n else 0.0 for v in r[1:]])
 
 
-def _predictors(xs: Sequence[str], theta: np.ndarray, means: np.ndarray) -> list[Column]:
-    return [sum(((F.col(x) - float(m)) * float(b) for x, m, b in zip(xs, means, row[1:])), F.lit(float(row[0]))) for row in theta]
-
-
 def derivatives(patterns: DataFrame, xs: Sequence[str], family, theta: np.ndarray, means: np.ndarray,
                 extra: dict[str, float]) -> tuple[float, np.ndarray, np.ndarray]:
     """Log likelihood, gradient and Hessian by all parameters, from one pass."""
-    t = family(_predictors(xs, theta, means), F.col("label"), extra)
-    k, p, w = len(theta), len(xs) + 1, F.col("weight")
-    design = [F.lit(1.0), *[F.col(x) - float(m) for x, m in zip(xs, means)]]
-    # the terms of the family once for each row; the sums below only multiply them
-    rows = patterns.select("weight", *xs, t.value.alias("_v"), *[c.alias(f"_g{i}") for i, c in enumerate(t.first)],
-                           *[c.alias(f"_h{i}_{j}") for (i, j), c in t.second.items()])
-    place = [(i, x) for i in range(k) for x in range(p)] + [(k + e, None) for e in range(len(extra))]
-    of = lambda x: F.lit(1.0) if x is None else design[x]
-    sums, cells = [F.sum(w * F.col("_v"))], []
-    sums += [F.sum(w * F.col(f"_g{i}") * of(x)) for i, x in place]
-    for a, (i, x) in enumerate(place):
-        for b, (j, z) in enumerate(place[a:], start=a):
-            key = (min(i, j), max(i, j))
-            if key in t.second:
-                cells.append((a, b))
-                sums.append(F.sum(w * F.col(f"_h{key[0]}_{key[1]}") * of(x) * of(z)))
-    r = [float(v or 0.0) for v in rows.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first()]
-    hessian = np.zeros((len(place), len(place)))
-    for (a, b), v in zip(cells, r[1 + len(place):]):
-        hessian[a, b] = hessian[b, a] = v
-    return r[0], np.array(r[1:1 + len(place)]), hessian
+    k, p, size = len(theta), len(xs) + 1, theta.size + len(extra)
+    xs = list(xs)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 + size + size * size)
+        for batch in batches:
+            column = lambda c: batch[c].to_numpy(zero_copy_only=False).astype(float)
+            design = np.column_stack([np.ones(batch.num_rows), *[column(x) - m for x, m in zip(xs, means)]])
+            w, t = column("weight"), family(design @ theta.T, column("label"), extra)
+            parts = [design] * k + [np.ones((batch.num_rows, 1))] * len(extra)  # what a linear predictor or parameter is multiplied by
+            start = np.cumsum([0, *[d.shape[1] for d in parts]])
+            gradient, hessian = np.zeros(size), np.zeros((size, size))
+            for i, d in enumerate(parts):
+                gradient[start[i]:start[i + 1]] = (w * t.first[i]) @ d
+            for (i, j), h in t.second.items():
+                block = (parts[i] * (w * h)[:, None]).T @ parts[j]
+                hessian[start[i]:start[i + 1], start[j]:start[j + 1]] = block
+                hessian[start[j]:start[j + 1], start[i]:start[i + 1]] = block.T
+            sums += np.concatenate([[w @ t.value], gradient, hessian.ravel()])
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+
+    found = patterns.select(*xs, "label", "weight").mapInArrow(work, "sums array<double>").collect()  # a row for each partition
+    total = np.sum([r["sums"] for r in found], axis=0) if found else np.zeros(1 + size + size * size)
+    return float(total[0]), total[1:1 + size], total[1 + size:].reshape(size, size)
 
 
 def fit(patterns: DataFrame, xs: Sequence[str], family, prior: Prior, predictors: int = 1,
         extra: dict[str, Extra] | None = None) -> Fit:
     """The mode of the penalised likelihood. ``patterns`` has the covariates ``xs``, ``label`` and ``weight``, and is
     read once for each step."""
+    ship(patterns.sparkSession)
     extra = extra or {}
     n, means = covariate_means(patterns, xs)
     k, p = predictors, len(xs) + 1

@@ -96,7 +96,7 @@ def _(t):
 @query("embed_text_model", f"""
     WITH letters AS (SELECT unnest(range(0, 26)) AS i),
     counted AS (SELECT conv_id, turn, i, CAST(length(text) - length(replace(text, chr(CAST(97 + i AS INT)), '')) AS DOUBLE) AS c FROM conversations, letters)
-    SELECT conv_id, turn, CAST(i AS INT) AS letter, {r6('CAST(c / sqrt(sum(c * c) OVER (PARTITION BY conv_id, turn)) AS FLOAT)')} AS value
+    SELECT conv_id, turn, CAST(i AS INT) AS letter, {r6('CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY conv_id, turn)) AS FLOAT) AS DOUBLE)')} AS value
     FROM counted QUALIFY sum(c) OVER (PARTITION BY conv_id, turn) > 0""")
 def _(t):
     """The numbers that a model loaded in the workers gives for every text, one by one."""

@@ -47,8 +47,7 @@ def _(t):
     return M.fit_entropy(entropy_rows(t))
 
 
-@query("fit_entropy_score", _terms(["Intercept", *M.INTERACTED], """
-    SELECT count(*) - count(DISTINCT Identifier) FROM (SELECT DISTINCT Identifier, TrialNumber FROM v_log WHERE Response IS NOT NULL)"""))
+@query("fit_entropy_score", _terms(["Intercept", *M.INTERACTED], "SELECT count(*) FROM (SELECT DISTINCT Identifier, TrialNumber FROM v_log WHERE Response IS NOT NULL)"))
 def _(t):
     d = entropy_rows(t)
     return M.score_equations(d, M.fit_entropy(d), M.INTERACTED, F.col("EntropyDifference"), "gaussian", M.PRIORS["entropy"])

@@ -151,12 +151,13 @@ def stream_pair_score(answers: DataFrame, wait: str = ANSWER_TIMEOUT, late: str
 def stream_response_counts(answers: DataFrame, window: str = "1 day", slide: str | None = None,
                            late: str = ANSWER_TIMEOUT) -> DataFrame:
     """Counts per run, window and answer."""
-    return _window_counts(answers, window, slide, late).select("Identifier", F.col("window.start").alias("window_start"), "Response", "n")
+    return _window_counts(answers.withWatermark("ts", late), window, slide).select(
+        "Identifier", F.col("window.start").alias("window_start"), "Response", "n")
 
 
-def _window_counts(answers: DataFrame, window: str, slide: str | None, late: str) -> DataFrame:
+def _window_counts(answers: DataFrame, window: str, slide: str | None) -> DataFrame:
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    return answers.withWatermark("ts", late).groupBy(w, "Identifier", "Response").agg(F.count(F.lit(1)).alias("n"))
+    return answers.groupBy(w, "Identifier", "Response").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_entropy(answers: DataFrame, window: str = "1 day", slide: str | None = None, late: str = ANSWER_TIMEOUT) -> DataFrame:
@@ -164,7 +165,10 @@ def stream_entropy(answers: DataFrame, window: str = "1 day", slide: str | None
     stream: counts of answers, then sums over the answers of a window, which stay open until the watermark
     passes the window. Missing answers are not counted."""
     n = F.col("n").cast("double")
-    counts = _window_counts(answers.where(F.col("Response").isNotNull()), window, slide, late)
+    marked = answers.withWatermark("ts", late)
+    # a condition that names the event time stays above the watermark, which the row that ends a replay has to reach
+    given = F.when(F.col("ts") < F.lit(END_OF_REPLAY).cast(marked.schema["ts"].dataType), F.col("Response")).isNotNull()
+    counts = _window_counts(marked.where(given), window, slide)
     sums = counts.groupBy("window", "Identifier").agg(F.sum(n).alias("total"), F.sum(n * F.log(n)).alias("inner"))
     return sums.select("Identifier", F.col("window.start").alias("window_start"), F.col("total").cast("bigint").alias("answers"),
                        F.greatest(F.log("total") - F.col("inner") / F.col("total"), F.lit(0.0)).alias("entropy"))
