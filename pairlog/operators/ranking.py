@@ -21,8 +21,11 @@ def bucketed_row_number(df: DataFrame, bucket: Column, order: Sequence[Column |
     """
     # the keys as one struct, which is never NULL itself and equals another one with the same NULLs
     keyed = df.withColumn("_key", F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(partition)], bucket.alias("bucket")))
-    # a second pass over the source, of the keys alone, counted before they are shuffled
-    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    # The sizes ask for whole rows, so that both branches read one and the same exchange below and the
+    # source is scanned once; a branch pruned to the keys would be a second scan and shuffle.
+    rest = [F.col(f"`{c}`") for c in df.columns]
+    sizes = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(F.lit(1), *rest)).alias("_all")) \
+        .where(F.col("_all").isNotNull()).drop("_all")
     before = W.partitionBy(*[F.col(f"_key.p{i}") for i in range(len(partition))]).orderBy("_key.bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = W.partitionBy("_key").orderBy(*[as_col(c) for c in order])

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship
 
-MAX_STEPS = 100
+MAX_STEPS = 60
 TOLERANCE = 1e-10
+LOG_RANGE = 25.0  # of parameters on the log scale: a deviation of nothing, as of data without noise, ends there
 
 
 class Prior(NamedTuple):
@@ -185,16 +186,21 @@ def fit(patterns: DataFrame, xs: Sequence[str], family, prior: Prior, predictors
     steps = 0
     while steps < MAX_STEPS:
         # a Hessian that is not negative definite, far from the mode, is bent until the step is uphill
-        size, vectors = np.linalg.eigh(-hessian)
-        step = vectors @ ((vectors.T @ gradient) / np.maximum(np.abs(size), 1e-12 * max(1.0, size.max())))
+        unit = np.sqrt(np.maximum(np.abs(np.diag(hessian)), 1e-300))  # parameters on one scale
+        size, vectors = np.linalg.eigh(-hessian / unit / unit[:, None])
+        step = vectors @ ((vectors.T @ (gradient / unit)) / np.maximum(np.abs(size), 1e-10)) / unit
+        step[k * p:] = np.clip(step[k * p:], -3.0, 3.0)
         steps += 1
         scale = 1.0
         while True:
             trial = theta + scale * step
+            trial[k * p:] = np.clip(trial[k * p:], -LOG_RANGE, LOG_RANGE)
             new = at(trial)
-            if new[0] >= value - 1e-12 * abs(value) or scale < 1e-6:
+            if new[0] >= value - 1e-12 * abs(value) or scale < 1e-3:
                 break
             scale /= 2
+        if new[0] < value - 1e-12 * abs(value):
+            break  # as near as the numbers allow
         moved = np.abs(trial - theta).max()
         theta, (value, gradient, hessian) = trial, new
         if moved <= TOLERANCE * (1 + np.abs(theta).max()):
