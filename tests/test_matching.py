@@ -43,7 +43,7 @@ def schedule_of(rows, rounds):
 
 def small_networks():
     rng = random.Random(8)
-    for k in range(24):
+    for k in range(14):
         n = rng.randrange(2, 10)
         share = rng.choice([0.2, 0.35, 0.6])
         yield {(100 * k + a, 100 * k + b) for a, b in itertools.combinations(range(n), 2) if rng.random() < share}
