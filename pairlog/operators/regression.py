@@ -157,7 +157,8 @@ def derivatives(patterns: DataFrame, xs: Sequence[str], family, theta: np.ndarra
 
     found = patterns.select(*xs, "label", "weight").mapInArrow(work, "sums array<double>").collect()  # a row for each partition
     total = np.sum([r["sums"] for r in found], axis=0) if found else np.zeros(1 + size + size * size)
-    return float(total[0]), total[1:1 + size], total[1 + size:].reshape(size, size)
+    hessian = total[1 + size:].reshape(size, size)
+    return float(total[0]), total[1:1 + size], (hessian + hessian.T) / 2
 
 
 def fit(patterns: DataFrame, xs: Sequence[str], family, prior: Prior, predictors: int = 1,
