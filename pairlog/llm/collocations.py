@@ -7,15 +7,18 @@ from the flow through the nodes: a phrase occurs as often as the edges leaving i
 it, level by level down to single words. A node whose whole flow leaves by one edge lies on a unary path and is
 compacted: it is no candidate of its own, since the longer phrase has all its occurrences.
 
-Before the edges are counted, tasks count the phrases of two, three and four words by hash into ``2^bits``
-buckets of a byte each (capped at the threshold, which keeps the test exact), sum them bucket by bucket, and keep
-one bit for each bucket. A record is cut short where its phrase's bucket stays below the threshold: such a
-phrase is no candidate, nor part of one, and its shorter beginnings are counted all the same. The filter has a
-fixed size, whatever the input; where it fills up, it only spares less work.
-
-Scale: two passes over texts that stay in place. Shuffled are the buckets, and records that each task has
-summed; hot words and hot phrases meet as partial sums, and one-word parts of phrases are salted when their
-counts are looked up. A language may hold any share: its ranking takes the first ``top`` of hashed parts first.
+Before the edges are counted, tasks count the phrases of one to four words by hash into ``2^bits`` buckets of a
+byte each (capped at the threshold, which keeps the test exact), sum them bucket by bucket, and keep one bit for
+each bucket. A record is cut short where its phrase's bucket, or that of words inside the phrase, stays below the
+threshold: such a phrase is no candidate, nor part of one, and its shorter beginnings are counted all the same.
+Places of rare words are only counted together. The filter has a fixed size, whatever the input; where it fills
+up, it only spares less work.
+
+Scale: two passes over texts that stay in place. A chunk of texts has one row for each of its unlike records, so
+that the rows made follow the text read and not what else a task has seen; Spark's partial aggregation sums them
+in each task. Shuffled are the buckets and those sums; hot words and hot phrases meet as partial sums, and
+one-word parts of phrases are salted when their counts are looked up. A language may hold any share: its ranking
+takes the first ``top`` of hashed parts first.
 
 Scores are floor(2000000 a / (l + r)) in decimals, the smallest over the cuts of a phrase, ties to the first
 cut. A phrase is dropped when a phrase with one more word has at least 80 % of its count; a yet longer one
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import truncate_lineage
 from .common import binary_list
-from .words import CHUNK, Growing, HashIndex, byte_class, chunks, join_bytes, mix, run_hashes, runs, spread
+from .words import CHUNK, byte_class, chunks, join_bytes, mix, run_hashes, runs, spread
 
 LONGEST = 4
 LEAST = 30
@@ -45,7 +48,6 @@ BITS = 24
 SALTS = 16
 PARTS = 64  # of a language's candidates, ranked apart first
 _BLOCK = 1 << 16  # buckets in a row of the shuffle
-_RECORDS = 400_000  # phrases that a task sums before it hands them on
 _BREAKS = byte_class([(0x0A, 0x0D), *[(b, b) for b in b".,;:!?"]])
 _WORD = ~(_BREAKS | byte_class([(0x20, 0x20), (0x09, 0x09)]))
 _PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
@@ -94,6 +96,9 @@ class Chunk:
                 longer[:-k] = mix(self.grams[-1][:-k] * np.uint64(0x9E3779B97F4A7C15) + word[k:])
             self.grams.append(longer)
 
+    def buckets(self, k: int, bits: int) -> np.ndarray:
+        return (self.grams[k - 1] >> np.uint64(64 - bits)).astype(np.int64)
+
     def phrases(self, first: np.ndarray, length: np.ndarray) -> pa.Array:
         """The words' bytes, one blank between."""
         size = self.ends - self.starts
@@ -132,17 +137,17 @@ def _unpacked(data: bytes, block: int) -> tuple[np.ndarray | slice, np.ndarray]:
 
 
 def frequent_buckets(rows: DataFrame, least: int, bits: int) -> list[bytes]:
-    """For two, three and four words: a bit for each bucket whose phrases together occur ``least`` times or more."""
+    """For one, two, three and four words: a bit for each bucket whose phrases together occur ``least`` times or more."""
     if not 1 <= least <= 255:
         raise ValueError("the threshold of the bucket counts is from 1 to 255")
-    size, regions = 1 << bits, LONGEST - 1
+    size, regions = 1 << bits, LONGEST
     block = min(_BLOCK, size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(regions * size, dtype=np.uint8)
         for chunk, _ in _chunks(batches):
             for k in range(regions):
-                bucket, n = np.unique((chunk.grams[k + 1][chunk.room > k + 1] >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+                bucket, n = np.unique(chunk.buckets(k + 1, bits)[chunk.room > k].astype(np.uint32), return_counts=True)
                 bucket = bucket.astype(np.int64) + k * size
                 counters[bucket] = np.minimum(counters[bucket] + n, least)
         whole = counters.reshape(-1, block)
@@ -163,7 +168,7 @@ def frequent_buckets(rows: DataFrame, least: int, bits: int) -> list[bytes]:
                                               "bits": pa.array([np.packbits(x >= least).tobytes() for x in sums.values()], pa.binary())})
 
     counted = rows.mapInArrow(count, "block int, counts binary").repartition("block")
-    found = {r["block"]: bytes(r["bits"]) for r in counted.mapInArrow(add, "block int, bits binary").collect()}  # 2^bits * 3 bits
+    found = {r["block"]: bytes(r["bits"]) for r in counted.mapInArrow(add, "block int, bits binary").collect()}  # 2^bits * 4 bits
     empty = bytes((block + 7) // 8)
     per = size // block
     return [b"".join(found.get(k * per + i, empty) for i in range(per)) for k in range(regions)]
@@ -171,45 +176,32 @@ def frequent_buckets(rows: DataFrame, least: int, bits: int) -> list[bytes]:
 
 def edges(docs: DataFrame, least: int = LEAST, bits: int = BITS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, phrase, words, n: how often a word place begins an edge of four words, or a shorter phrase that
-    ends its piece or can't be part of a candidate. The sum of n is the number of words."""
+    ends its piece or can't be part of a candidate; with no words, the places whose word is too rare for any. The
+    sum of n is the number of words."""
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                        F.col(f"`{text_col}`").cast("binary").alias("text")).where("text IS NOT NULL")
     kept = docs.sparkSession.sparkContext.broadcast(frequent_buckets(rows, least, bits))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = [np.unpackbits(np.frombuffer(x, dtype=np.uint8)).view(bool) for x in kept.value]
-        index, counts, held = HashIndex(), Growing(np.int64), []
-
-        def report() -> Iterator[pa.RecordBatch]:
-            done = 0
-            for lang, phrase, words in held:
-                yield pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), words, pa.array(counts.data[done:done + len(words)])],
-                                                 names=["lang", "phrase", "words", "n"])
-                done += len(words)
-
         for chunk, langs in _chunks(batches):
             if not len(chunk.starts):
                 continue
-            length, on = np.ones(len(chunk.starts), dtype=np.int64), np.ones(len(chunk.starts), dtype=bool)
-            record = chunk.grams[0].copy()
+            names = pa.array(langs, pa.string())
+            on = frequent[0][chunk.buckets(1, bits)]
+            length, record = on.astype(np.int64), chunk.grams[0].copy()
+            rare = np.bincount(chunk.text[~on], minlength=len(langs))
             for k in range(2, LONGEST + 1):
-                on = on & (chunk.room >= k) & frequent[k - 2][(chunk.grams[k - 1] >> np.uint64(64 - bits)).astype(np.int64)]
+                on = on & np.append(on[1:], False) & (chunk.room >= k) & frequent[k - 1][chunk.buckets(k, bits)]
                 length[on] = k
                 record[on] = chunk.grams[k - 1][on] + np.uint64(k)
-            record, first, n = np.unique(record, return_index=True, return_counts=True)
-            number = index.find(record)
-            new = np.flatnonzero(number < 0)
-            if len(new):
-                at = first[new]
-                held.append((pa.array([langs[i] for i in chunk.text[at].tolist()], pa.string()), chunk.phrases(at, length[at]),
-                             pa.array(length[at], pa.int32())))
-                number[new] = index.add(record[new])
-                counts.extend(np.zeros(len(new), dtype=np.int64))
-            counts.data[number] += n
-            if index.count > _RECORDS:
-                yield from report()
-                index, counts, held = HashIndex(), Growing(np.int64), []
-        yield from report()
+            _, first, n = np.unique(record[length > 0], return_index=True, return_counts=True)
+            first = np.flatnonzero(length)[first]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(chunk.text[first])), chunk.phrases(first, length[first]).cast(pa.string()),
+                                              pa.array(length[first], pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "n"])
+            some = np.flatnonzero(rare)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array([""] * len(some), pa.string()),
+                                              pa.array(np.zeros(len(some)), pa.int32()), pa.array(rare[some], pa.int64())], names=["lang", "phrase", "words", "n"])
 
     found = rows.mapInArrow(work, "lang string, phrase string, words int, n bigint")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))

@@ -255,6 +255,21 @@ def test_flow_is_the_count_of_every_phrase(spark):
         assert any(k[0] == lang and k[1].startswith(phrase + " ") and v == f for k, v in every.items())
 
 
+def test_records_are_of_frequent_phrases_only(spark):
+    rows = corpus()
+    f, rare = Counter(), Counter()
+    for text, lang in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall("[^\x20\x09]+", piece)
+            f.update((lang or ("und" if lang is None else ""), " ".join(w[i:i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+    for (lang, phrase), n in f.items():
+        if " " not in phrase and n < 30:
+            rare[lang] += n
+    got = collocations.edges(spark.createDataFrame(rows, "text string, lang string"), 30).collect()
+    assert rare and {r.lang: r.n for r in got if not r.words} == dict(rare)
+    assert all(f[r.lang, r.phrase] >= 30 for r in got if r.words)
+
+
 def test_collocations_of_nothing(spark):
     d = spark.createDataFrame([], "text string, lang string")
     assert collocations.mine(d).collect() == []
