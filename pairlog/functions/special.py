@@ -186,7 +186,8 @@ def binomial_half_p(successes: Column | str, total: Column | str) -> Column:
     """Exact two-sided binomial p value against one half; NULL when total is 0."""
     k, n = as_col(successes), as_col(total)
     low = F.least(k, n - k)
-    tail = beta_inc(n - low, low + 1, F.lit(0.5), F.lit(0.5))
+    # Spark hands every row to the function, whatever surrounds it
+    tail = beta_inc(F.when(n > 0, n - low), low + 1, F.lit(0.5), F.lit(0.5))
     return F.when(n > 0, F.least(F.lit(1.0), 2.0 * tail))
 
 

@@ -104,6 +104,13 @@ def test_beta_edges(spark):
     assert r.none is None and r.q == pytest.approx(0.5)
 
 
+def test_binomial_of_rows_without_trials(spark):
+    d = spark.createDataFrame([(0, 0), (3, 10), (0, 5), (2, None)], "k int, n int").repartition(1)
+    got = {(r.k, r.n): r.p for r in d.select("k", "n", B.binomial_half_p("k", "n").alias("p")).collect()}
+    assert got[0, 0] is None and got[2, None] is None
+    assert got[3, 10] == pytest.approx(exact_binomial(3, 10)) and got[0, 5] == pytest.approx(0.0625)
+
+
 def normal_tail(z):
     return math.erfc(z / math.sqrt(2))
 
