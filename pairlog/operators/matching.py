@@ -1,8 +1,11 @@
 """Random matchings along the edges of any network, a new one for every round.
 
-All rounds are drawn together. Every node without a partner is the root of a tree; the trees of a round grow at
-once, each step by one edge and the pair behind it, so that a tree holds paths which alternate between edges
-outside and inside the matching. Where the ends of two trees touch, the path from root to root has one pair
+A network of up to ``held`` edges is dealt out once for each round, and a task draws a round from memory
+(``blossom.largest_matching``); its matchings are as large as any, and rounds run side by side.
+
+Beyond that, no task holds a network. All rounds are drawn together. Every node without a partner is the root of a
+tree; the trees of a round grow at once, each step by one edge and the pair behind it, so that a tree holds paths which
+alternate between edges outside and inside the matching. Where the ends of two trees touch, the path from root to root has one pair
 more when it is swapped. Of the paths that touch, those are taken whose hashed priority is the smallest at both
 of their trees; their trees are given up, all others grow on. At the start every node is a root, so the first
 steps are those of a random greedy matching; what greed leaves over is then repaired by longer and longer swaps.
@@ -10,7 +13,8 @@ steps are those of a random greedy matching; what greed leaves over is then repa
 A step is a few equi joins and aggregates over (round, node), all of them mergeable, so a hub may hold any
 share of the edges. Its state is written to the work folder and read back, so a step depends on the one
 before it alone. Steps grow with the logarithm of the network, plus the distance between the last nodes
-left over; paths travel with the nodes of their trees and are as long as that distance.
+left over; paths travel with the nodes of their trees and are as long as that distance. On a ring, with hubs or
+without, that is a share of the network.
 
 A node left over after the last step has no partner in its round. Where trees met only themselves, in cycles
 of odd length, they are grown again in another random order, ``attempts`` times before the node is given up.
@@ -19,11 +23,17 @@ Without such cycles, the matching is known to be as large as any.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import truncate_lineage
+from ..session import ship, truncate_lineage
+from .blossom import largest_matching
 from .reshape import edge_canonical
 
+HELD = 1 << 22  # edges of a network that one task may hold: a few hundred MB of its Python
 IDLE = 3  # thinned steps in a row without a find, before the trees are grown anew
 
 
@@ -93,12 +103,36 @@ def _step(state: DataFrame, claims: DataFrame, chosen: DataFrame) -> DataFrame:
         F.when(~over, F.coalesce("new_path", "path")).alias("path"))
 
 
-def matched_nodes(edges: DataFrame, rounds: int, seed: int = 0, attempts: int = 3, u: str = "u", v: str = "v") -> DataFrame:
+def _held(plain: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """(Trial, node, mate) where a task holds the network; one task for each round."""
+    ship(plain.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        trial, u, v = (np.concatenate([b.column(i).to_numpy() for b in rows]) for i in range(3))
+        del rows
+        for t in np.unique(trial).tolist():
+            own = trial == t
+            nodes, mate = largest_matching(u[own], v[own], np.random.default_rng((seed % 2**64, t)))
+            for at in range(0, len(nodes), 1 << 16):
+                node, to = nodes[at:at + (1 << 16)], mate[at:at + (1 << 16)]
+                yield pa.record_batch([pa.array(np.full(len(node), t, np.int32)), pa.array(node), pa.array(nodes[to], mask=to < 0)], ["Trial", "node", "mate"])
+
+    dealt = plain.select(F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("Trial"), "u", "v").repartitionById(rounds, F.col("Trial") - 1)
+    return truncate_lineage(dealt.mapInArrow(work, "Trial int, node bigint, mate bigint"), "matching")
+
+
+def matched_nodes(edges: DataFrame, rounds: int, seed: int = 0, attempts: int = 3, u: str = "u", v: str = "v", held: int = HELD) -> DataFrame:
     """(Trial, node, mate) of every node of the network in every round; mate is NULL for a node left over.
 
-    ``edges`` are any two columns of whole numbers; loops, repeated edges and NULL ends do not count."""
+    ``edges`` are any two columns of whole numbers; loops, repeated edges and NULL ends do not count. ``attempts``
+    matter for networks of more than ``held`` edges only."""
     plain = truncate_lineage(edge_canonical(edges.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(
         F.col(u).cast("bigint").alias("u"), F.col(v).cast("bigint").alias("v"))), "edges")
+    if rounds >= 1 and plain.count() <= held:
+        return _held(plain, rounds, seed)
     ends = plain.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
     nodes = ends.select(F.col("u").alias("node")).distinct()
     state = nodes.select(F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("Trial"), "node", F.lit(None).cast("bigint").alias("mate"))
@@ -110,6 +144,9 @@ def matched_nodes(edges: DataFrame, rounds: int, seed: int = 0, attempts: int =
         touching = _touching(state, ends, seed + 7919 * step, thin=attempt > 0).persist()
         chosen = truncate_lineage(_chosen(touching, seed), "swaps")
         swaps = not chosen.isEmpty()
+        if not swaps and _open(state).isEmpty():
+            touching.unpersist()
+            return state.select("Trial", "node", "mate")
         if swaps or not touching.where(_GROWS).isEmpty():
             state = truncate_lineage(_step(state, _claims(touching, seed + step), chosen), "matching")
             attempt, idle = 0 if swaps else attempt, 0
@@ -124,17 +161,21 @@ def matched_nodes(edges: DataFrame, rounds: int, seed: int = 0, attempts: int =
         touching.unpersist()
 
 
+def _open(state: DataFrame) -> DataFrame:
+    """Rounds with two nodes or more left over."""
+    return state.where("mate IS NULL").groupBy("Trial").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("Trial")
+
+
 def _stuck(state: DataFrame, ends: DataFrame) -> bool:
     """Whether in a round with two nodes or more left over some tree touches itself, so that another order of growing may
     find more."""
-    open_ = state.where("mate IS NULL").groupBy("Trial").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("Trial")
-    some = state.join(open_, "Trial", "left_semi")
+    some = state.join(_open(state), "Trial", "left_semi")
     return not _touching(some, ends, 0, False).where("v_even AND v_root = root AND v <> u").isEmpty()
 
 
-def random_matching(edges: DataFrame, rounds: int, seed: int = 0, attempts: int = 3, u: str = "u", v: str = "v") -> DataFrame:
+def random_matching(edges: DataFrame, rounds: int, seed: int = 0, attempts: int = 3, u: str = "u", v: str = "v", held: int = HELD) -> DataFrame:
     """(Trial, Node1, Node2): a random matching of the network for each round, Node1 < Node2."""
-    seats = matched_nodes(edges, rounds, seed, attempts, u, v)
+    seats = matched_nodes(edges, rounds, seed, attempts, u, v, held)
     return seats.where(F.col("node") < F.col("mate")).select("Trial", F.col("node").alias("Node1"), F.col("mate").alias("Node2"))
 
 

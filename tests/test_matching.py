@@ -5,10 +5,12 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pairlog.operators import matching as M, pairing as P
+from pairlog.operators.blossom import largest_matching
 
 
 def network(spark, edges):
@@ -108,6 +110,80 @@ def test_rounds_differ_in_all_edges(spark):
     assert len(drawn) == 15 and min(drawn.values()) >= 3 and sum(drawn.values()) == 180
 
 
+@pytest.fixture
+def writes(monkeypatch):
+    """What goes to the work folder while a schedule is drawn: (purpose, table)."""
+    out = []
+    monkeypatch.setattr(M, "truncate_lineage", lambda df, purpose, f=M.truncate_lineage: out.append((purpose, f(df, purpose))) or out[-1][1])
+    return out
+
+
+@pytest.mark.parametrize("n", [600, 601])
+def test_a_ring_with_hubs_takes_no_steps(spark, writes, n):
+    """The last nodes left over are far apart; the work does not grow with the distance between them."""
+    edges = P.hub_edges(spark.range(1, n + 1).withColumnRenamed("id", "node"), n, hubs=2)
+    found = schedule_of(M.random_matching(edges, 3, seed=5).collect(), 3)
+    assert [purpose for purpose, _ in writes] == ["edges", "matching"]
+    there = {tuple(r) for r in edges.collect()}
+    assert all(len(p) == n // 2 and set(p) <= there for p in found.values())
+    assert len({tuple(sorted(p)) for p in found.values()}) == 3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shrunken_cycles(seed):
+    """Random networks with many odd cycles, against brute force; the order of the edges is of no account."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        n = rng.randrange(2, 12)
+        edges = [e for e in itertools.combinations([7 * i - 20 for i in range(n)], 2) if rng.random() < rng.choice([0.15, 0.3, 0.5])]
+        if not edges:
+            continue
+        draw = lambda e: largest_matching(*np.array(e, np.int64).T, np.random.default_rng(seed))
+        nodes, mate = draw(edges)
+        assert nodes.tolist() == sorted({x for e in edges for x in e})
+        pairs = {(int(nodes[i]), int(nodes[j])) for i, j in enumerate(mate) if i < j}
+        assert all(mate[j] == i for i, j in enumerate(mate) if j >= 0) and pairs <= set(edges) and len(pairs) == largest(frozenset(edges))
+        assert (draw(rng.sample(edges, len(edges)))[1] == mate).all()
+
+
+def test_long_searches_and_failed_ones():
+    """Flowers on a path of thousands of pairs, and leaves that hang on few nodes."""
+    n = 4000
+    path = [(i, i + 1) for i in range(n - 1)]
+    flowers = [(i, i + 2) for i in range(0, n - 2, 3)]
+    leaves = [(i % 7, n + i) for i in range(3000)]
+    for edges, most in ((path, n // 2), (path + flowers, n // 2), (leaves, 7), (path + flowers + leaves, (n - 8) // 2 + 7)):
+        _, mate = largest_matching(*np.array(edges, np.int64).T, np.random.default_rng(1))
+        assert (mate >= 0).sum() == 2 * most
+
+
+def test_same_draw_on_other_partitions(spark):
+    table = network(spark, [(a, b) for a, b in itertools.combinations(range(40), 2) if (a * b) % 5])
+    one = set(map(tuple, M.random_matching(table.coalesce(1), 3, seed=-4).collect()))
+    assert one == set(map(tuple, M.random_matching(table.repartition(7), 3, seed=-4).collect()))
+    assert one != set(map(tuple, M.random_matching(table, 3, seed=4).collect()))
+
+
+def test_step_by_step(spark, writes):
+    """Networks that no task may hold: trees over all tasks."""
+    parts = [p for p in small_networks() if p][-8:]
+    table = network(spark, set().union(*parts))
+    found = schedule_of(M.random_matching(table, 2, seed=1, held=0).collect(), 2)
+    assert sum(purpose == "swaps" for purpose, _ in writes) > 1
+    for pairs in found.values():
+        assert [sum(a in {n for e in p for n in e} for a, _ in pairs) for p in parts] == [largest(frozenset(p)) for p in parts]
+    assert M.random_matching(table, 0, held=0).count() == M.random_matching(table.limit(0), 2, held=0).count() == 0
+
+
+def test_one_node_left_over_ends_the_steps(spark, writes):
+    """Nobody is left for it to find, however far its tree could grow."""
+    edges = network(spark, [(i, i + 1) for i in range(24)])
+    found = schedule_of(M.random_matching(edges, 1, seed=3, held=0).collect(), 1)
+    assert len(found[1]) == 12
+    empty = [table.isEmpty() for purpose, table in writes if purpose == "swaps"]
+    assert empty[-1] and not empty[-2]
+
+
 def test_absent_rounds(spark):
     s = spark.createDataFrame([(1, 2, 1), (1, 2, 3)], "Node1 int, Node2 int, Trial int")
     assert [(r.Trial, r.node, r.problem) for r in P.validate_schedule(s, n=2, k=2, rounds=3).collect()] == [(2, None, "absent_round")]
