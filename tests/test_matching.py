@@ -129,6 +129,15 @@ def test_a_ring_with_hubs_takes_no_steps(spark, writes, n):
     assert len({tuple(sorted(p)) for p in found.values()}) == 3
 
 
+def test_a_regular_network_takes_no_steps(spark, writes):
+    n = 501
+    edges = P.regular_edges(spark.range(1, n + 1).withColumnRenamed("id", "node"), n, seed=7)
+    schedule = M.random_matching(edges, 4, seed=3)
+    assert [purpose for purpose, _ in writes] == ["edges", "matching"]
+    assert all(len(p) == n // 2 for p in schedule_of(schedule.collect(), 4).values())
+    assert [r.Trial for r in M.left_over(edges, schedule, 4).orderBy("Trial").collect()] == [1, 2, 3, 4]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_shrunken_cycles(seed):
     """Random networks with many odd cycles, against brute force; the order of the edges is of no account."""
